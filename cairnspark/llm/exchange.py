@@ -29,7 +29,7 @@ from pyspark.sql import types as T
 from . import kernel
 
 #: Bytes of text in a block; a longer document is a block of its own.
-BLOCK_BYTES = 8 << 20
+BLOCK_BYTES = 4 << 20
 
 
 def pack(*parts: bytes) -> bytes:

@@ -13,6 +13,9 @@ import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
 
+# Freed Arrow memory goes back to the system at once; workers share an executor's memory with its heap.
+pa.set_memory_pool(pa.system_memory_pool())
+
 #: Bytes of text that one vectorised step takes; a longer document is a step of its own.
 STEP_BYTES = 4 << 20
 
