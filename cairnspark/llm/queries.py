@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import bpe_codec, decontamination, lm_scoring, quality, substrings, warc, weighted_sampling
+from . import bpe_codec, decontamination, jaccard_join, lm_scoring, quality, substrings, warc, weighted_sampling
 from .token_counts import count_tokens
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -43,6 +43,11 @@ def op3_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return count_tokens(table(spark, sf_dir, "documents"), public_tokenizers.path("byte_bpe_50k.json"), limit=1024)
 
 
+@query
+def op7_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return jaccard_join.linked(table(spark, sf_dir, "documents"))
+
+
 @query
 def op8_substrings(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = substrings.deduplicate(table(spark, sf_dir, "documents"), width=13)
