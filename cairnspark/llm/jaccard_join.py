@@ -4,7 +4,7 @@
    learn how many documents have each.  A shingle of one document can't
    contribute to a link, and a text with too many of those has none.
 2. Prefixes.  With shingles in order of frequency, two texts that link share one
-   among the first n - ceil(0.85 n) + 1 of each; the rest of the product need
+   among the first n - ceil(t n) + 1 of each, t being the least similarity; the rest of the product need
    not be formed.
 3. Overlaps.  Equal sets are one node.  Within a shingle's list, nodes meet one
    pivot at first (twice, with different pivots); what that links needs no
@@ -68,11 +68,6 @@ class Shingles:
         self.times = np.diff(np.append(at, len(order)))
 
 
-def bound(n: Column) -> Column:
-    """The least overlap that a set of n shingles needs with any other."""
-    return F.ceil(n * F.lit(LINK) / 100)
-
-
 def _frequencies(rows: DataFrame, buckets: int, width: int) -> tuple[DataFrame, DataFrame]:
     """(bucket, block, payload) of answers: places of shingles that several documents have, and in how many; and the blocks' texts."""
     edges = np.array([(k << 48) // buckets for k in range(1, buckets)], np.uint64)
@@ -110,7 +105,7 @@ def _frequencies(rows: DataFrame, buckets: int, width: int) -> tuple[DataFrame,
     return answered, rows.mapInArrow(texts, "bucket int, block long, ids array<long>, payload binary")
 
 
-def _sets(rows: DataFrame, buckets: int, width: int) -> DataFrame:
+def _sets(rows: DataFrame, buckets: int, width: int, link: int) -> DataFrame:
     """(id, n, node, prefix, shared): every document, and for those that may link, their node and shingles.
 
     ``node`` stands for the set; ``prefix``: the shingles of the prefix that
@@ -135,7 +130,7 @@ def _sets(rows: DataFrame, buckets: int, width: int) -> DataFrame:
         n = np.diff(s.bounds)
         several = np.concatenate([[0], np.cumsum(frequency > 1)])
         held = several[s.bounds[1:]] - several[s.bounds[:-1]]
-        need = -(-LINK * n // 100)
+        need = -(-link * n // 100)
         first = n - need + 1 - (n - held)  # of the prefix, those that several documents have
         node, prefix, shared = [], [], []
         for d in range(len(n)):
@@ -179,12 +174,12 @@ def components(edges: DataFrame) -> DataFrame:
     return left.select(F.col("a").alias("id"), F.col("b").alias("root")) if total is None else total
 
 
-def _fits(x: str, y: str) -> Column:
+def _fits(x: str, y: str, link: int) -> Column:
     """The sizes allow a link."""
-    return F.least(x, y) * 100 >= F.greatest(x, y) * LINK
+    return F.least(x, y) * 100 >= F.greatest(x, y) * link
 
 
-def _verified(pairs: DataFrame, nodes: DataFrame) -> DataFrame:
+def _verified(pairs: DataFrame, nodes: DataFrame, link: int) -> DataFrame:
     """The pairs (a, b) that link, by their whole sets."""
     side = lambda c: nodes.select(F.col("node").alias(c), F.col("n").alias(f"n_{c}"), F.col("shared").alias(f"set_{c}"))
     both = pairs.join(side("a"), "a").join(side("b"), "b").select("a", "b", "n_a", "n_b", "set_a", "set_b")
@@ -193,8 +188,7 @@ def _verified(pairs: DataFrame, nodes: DataFrame) -> DataFrame:
         for batch in batches:
             n_a, n_b = batch.column(2).to_numpy(), batch.column(3).to_numpy()
             both = np.array([len(np.intersect1d(kernel.get_sorted(x.as_py()), kernel.get_sorted(y.as_py()), assume_unique=True)) for x, y in zip(batch.column(4), batch.column(5), strict=True)], np.int64)
-            link = pa.array(100 * both >= LINK * (n_a + n_b - both))
-            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1)], ["a", "b"]).filter(link)
+            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1)], ["a", "b"]).filter(pa.array(100 * both >= link * (n_a + n_b - both)))
 
     return both.mapInArrow(run, "a long, b long")
 
@@ -205,7 +199,7 @@ def _parts(nodes: DataFrame, edges: DataFrame) -> DataFrame:
     return kept(nodes.select("node").join(found.withColumnRenamed("id", "node"), "node", "left").select("node", F.coalesce("root", "node").alias("part")))
 
 
-def _product(key: tuple[pa.Scalar, ...], table: pa.Table) -> pa.Table:
+def _product(table: pa.Table, link: int) -> pa.Table:
     """Links between the few and the many of a block, by a product of their incidence matrices over slices of shingles."""
     few = table["few"].to_numpy(zero_copy_only=False)
     node, part, n = (table[c].to_numpy() for c in ("node", "part", "n"))
@@ -233,12 +227,12 @@ def _product(key: tuple[pa.Scalar, ...], table: pa.Table) -> pa.Table:
             m.append(x)
         overlap += m[0] @ m[1].T
     n1, n2 = n[r1][:, None], n[r2][None, :]
-    fits = (100 * np.minimum(n1, n2) >= LINK * np.maximum(n1, n2)) & (part[r1][:, None] != part[r2][None, :])
-    x, y = np.nonzero(fits & (100 * overlap >= LINK * (n1 + n2 - overlap)))
+    fits = (100 * np.minimum(n1, n2) >= link * np.maximum(n1, n2)) & (part[r1][:, None] != part[r2][None, :])
+    x, y = np.nonzero(fits & (100 * overlap.astype(np.int64) >= link * (n1 + n2 - overlap.astype(np.int64))))
     return pa.table({"a": node[r1[x]], "b": node[r2[y]]})
 
 
-def _rest(nodes: DataFrame, lists: DataFrame, parts: DataFrame) -> DataFrame:
+def _rest(nodes: DataFrame, lists: DataFrame, parts: DataFrame, link: int) -> DataFrame:
     """Links (a, b) between parts that lists still hold apart, each list's members compared in full."""
     held = lists.join(parts, "node")
     open_lists = held.groupBy("shingle").agg(F.min("part").alias("p"), F.max("part").alias("q")).where("p < q").select("shingle")
@@ -249,7 +243,7 @@ def _rest(nodes: DataFrame, lists: DataFrame, parts: DataFrame) -> DataFrame:
     from pyspark.sql import Window
 
     before = Window.partitionBy("shingle").orderBy("n", "node")
-    chain = held.select("node", "n", F.lag("node").over(before).alias("b"), F.lag("n").over(before).alias("m")).where(F.col("b").isNotNull() & _fits("n", "m")).select(F.col("node").alias("a"), "b")
+    chain = held.select("node", "n", F.lag("node").over(before).alias("b"), F.lag("n").over(before).alias("m")).where(F.col("b").isNotNull() & _fits("n", "m", link)).select(F.col("node").alias("a"), "b")
     cluster = components(chain)
     members = held.select("node", "part").distinct().join(cluster.withColumnRenamed("id", "node"), "node", "left").select("node", "part", F.coalesce("root", "node").alias("cluster"))
     sizes = members.groupBy("cluster", "part").count()
@@ -259,14 +253,18 @@ def _rest(nodes: DataFrame, lists: DataFrame, parts: DataFrame) -> DataFrame:
     place = F.xxhash64("node")
     few = members.where("part <> main").select("cluster", F.pmod(place, "i_all").cast("int").alias("i"), F.explode(F.sequence(F.lit(0), F.col("j_all") - 1)).alias("j"), F.lit(True).alias("few"), "node", "part", "n", "shared")
     many = members.select("cluster", F.explode(F.sequence(F.lit(0), F.col("i_all") - 1)).alias("i"), F.pmod(place, "j_all").cast("int").alias("j"), F.lit(False).alias("few"), "node", "part", "n", "shared")
-    return few.unionByName(many).groupBy("cluster", "i", "j").applyInArrow(_product, "a long, b long")
+
+    def product(key: tuple[pa.Scalar, ...], table: pa.Table) -> pa.Table:
+        return _product(table, link)
+
+    return few.unionByName(many).groupBy("cluster", "i", "j").applyInArrow(product, "a long, b long")
 
 
-def linked(docs: DataFrame, *, width: int = WIDTH, id_col: str = "doc_id", text_col: str = "text", buckets: int | None = None) -> DataFrame:
+def linked(docs: DataFrame, *, width: int = WIDTH, link: int = LINK, id_col: str = "doc_id", text_col: str = "text", buckets: int | None = None) -> DataFrame:
     """(id, n_shingles, component_id) of every row.
 
     Links join sets of ``width``-word shingles with a Jaccard similarity of
-    LINK % or more; ``component_id`` is the smallest id that links reach.  A
+    ``link`` % or more; ``component_id`` is the smallest id that links reach.  A
     text of fewer words is one shingle; one without words, or null, has none
     and links with nothing.  Rows with equal ids are rows of their own, and
     linked as their texts are.  A null id is never the smallest: a part of
@@ -275,21 +273,21 @@ def linked(docs: DataFrame, *, width: int = WIDTH, id_col: str = "doc_id", text_
     """
     buckets = buckets or int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions"))
     rows = docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).alias("text"))
-    sets = kept(_sets(rows, buckets, width))
+    sets = kept(_sets(rows, buckets, width, link))
     may = sets.where(F.col("node").isNotNull())
     nodes = kept(may.groupBy("node").agg(F.min("id").alias("first"), F.first("n").alias("n"), F.first("prefix").alias("prefix"), F.first("shared").alias("shared")))
     # Lists of two nodes or more; sizes in steps of the link's ratio.
     entries = nodes.select("node", "n", F.explode("prefix").alias("shingle"))
     several = entries.groupBy("shingle").count().where("count > 1").select("shingle")
     lists = kept(entries.join(several, "shingle"))
-    step = F.floor(F.log(F.col("n").cast("double")) / F.log(F.lit(100 / LINK)))
+    step = F.floor(F.log(F.col("n").cast("double")) / F.log(F.lit(100 / link)))
 
     def against(lists: DataFrame, keys: list[str], rank: Column) -> DataFrame:
         pivots = lists.groupBy(*keys).agg(F.min_by(F.struct("node", "n"), rank).alias("pivot"))
-        met = lists.join(pivots, keys).where((F.col("node") != F.col("pivot.node")) & _fits("n", "pivot.n"))
+        met = lists.join(pivots, keys).where((F.col("node") != F.col("pivot.node")) & _fits("n", "pivot.n", link))
         return met.select(F.least("node", "pivot.node").alias("a"), F.greatest("node", "pivot.node").alias("b")).distinct()
 
-    edges = kept(_verified(against(lists.withColumn("step", step), ["shingle", "step"], F.col("node")), nodes))
+    edges = kept(_verified(against(lists.withColumn("step", step), ["shingle", "step"], F.col("node")), nodes, link))
     parts = _parts(nodes, edges)
     held = lists.join(parts, "node")
     open_lists = held.groupBy("shingle").agg(F.min("part").alias("p"), F.max("part").alias("q")).where("p < q").select("shingle")
@@ -297,9 +295,9 @@ def linked(docs: DataFrame, *, width: int = WIDTH, id_col: str = "doc_id", text_
     pairs = against(apart, ["shingle"], F.xxhash64("node", "shingle"))
     part = lambda c: parts.select(F.col("node").alias(c), F.col("part").alias(f"part_{c}"))
     pairs = pairs.join(part("a"), "a").join(part("b"), "b").where("part_a <> part_b").select("a", "b")
-    edges = kept(edges.unionByName(_verified(pairs, nodes)))
+    edges = kept(edges.unionByName(_verified(pairs, nodes, link)))
     parts = _parts(nodes, edges)
-    edges = kept(edges.unionByName(_rest(nodes, lists, parts)))
+    edges = kept(edges.unionByName(_rest(nodes, lists, parts, link)))
     parts = _parts(nodes, edges)
     smallest = nodes.select("node", "first").join(parts, "node").groupBy("part").agg(F.min("first").alias("component"))
     named = parts.join(smallest, "part").select("node", "component")
