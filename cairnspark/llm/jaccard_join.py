@@ -7,8 +7,7 @@
    among the first n - ceil(t n) + 1 of each, t being the least similarity; the rest of the product need
    not be formed.
 3. Overlaps.  Equal sets are one node.  Within a shingle's list, nodes meet one
-   pivot at first (twice, with different pivots); what that links needs no
-   further pairs.  Lists that still hold separate parts are multiplied out in
+   two pivots at first; what those link needs no further pairs.  Lists that still hold separate parts are multiplied out in
    blocks of bounded size: overlap counts are accumulated over slices of the
    shingles, and pairs outside the sizes' bound are discarded.
 """
@@ -152,26 +151,43 @@ def _sets(rows: DataFrame, buckets: int, width: int, link: int) -> DataFrame:
     return stored.unionByName(answered, allowMissingColumns=True).groupBy("block").applyInArrow(finish, "id long, n long, node long, prefix array<long>, shared binary")
 
 
+def _join(left: DataFrame, right: DataFrame, on: str, how: str = "inner") -> DataFrame:
+    """A join whose sides may be as large as the corpus, and which is planned as such: the driver holds none of it."""
+    return left.join(right.hint("merge"), on, how)
+
+
+def _up(parents: DataFrame, id_name: str) -> DataFrame:
+    return parents.select(F.col("id").alias(id_name), F.col("root").alias("top"))
+
+
+def _parents(edges: DataFrame) -> DataFrame:
+    """(id, root): each larger end's smallest neighbour, or that one's."""
+    parent = edges.groupBy(F.col("b").alias("id")).agg(F.min("a").alias("root"))
+    return _join(parent, _up(parent, "root"), "root", "left").select("id", F.coalesce("top", "root").alias("root"))
+
+
 def components(edges: DataFrame) -> DataFrame:
-    """(id, root) of all ids that aren't the smallest of their part; edges are pairs (a, b).
+    """(id, root) of all ids that aren't the root of their part; edges are pairs (a, b).
 
-    Each id takes its smallest neighbour as parent, parents are followed twice,
+    Each id takes its smallest neighbour as parent, parents are followed once,
     and the edges between what is then left are treated alike until none is.
+    One table is written per round; rounds grow with the logarithm of a part.
     """
-    order = lambda df: df.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).where("a < b").distinct()
-    left, total = kept(order(edges)), None
-    while not left.isEmpty():
-        parent = left.groupBy(F.col("b").alias("id")).agg(F.min("a").alias("root"))
-        for _ in range(2):
-            up = parent.select(F.col("id").alias("root"), F.col("root").alias("top"))
-            parent = kept(parent.join(up, "root", "left").select("id", F.coalesce("top", "root").alias("root")))
-        up = parent.select(F.col("id").alias("root"), F.col("root").alias("top"))
-        total = parent if total is None else kept(total.join(up, "root", "left").select("id", F.coalesce("top", "root").alias("root")).unionByName(parent))
-        for c in ("a", "b"):
-            end = parent.select(F.col("id").alias(c), F.col("root").alias("top"))
-            left = left.join(end, c, "left").withColumn(c, F.coalesce("top", c)).drop("top")
-        left = kept(order(left))
-    return left.select(F.col("a").alias("id"), F.col("b").alias("root")) if total is None else total
+
+    def ordered(df: DataFrame) -> DataFrame:
+        return kept(df.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).where("a < b").distinct())
+
+    levels = [ordered(edges)]
+    while not levels[-1].isEmpty():
+        left, parents = levels[-1], _parents(levels[-1])
+        for end in ("a", "b"):
+            left = _join(left, _up(parents, end), end, "left").withColumn(end, F.coalesce("top", end)).drop("top")
+        levels.append(ordered(left))
+    total = _parents(levels.pop())
+    for level in reversed(levels):
+        parents = _parents(level)
+        total = _join(parents, _up(total, "root"), "root", "left").select("id", F.coalesce("top", "root").alias("root")).unionByName(total)
+    return total
 
 
 def _fits(x: str, y: str, link: int) -> Column:
@@ -182,7 +198,7 @@ def _fits(x: str, y: str, link: int) -> Column:
 def _verified(pairs: DataFrame, nodes: DataFrame, link: int) -> DataFrame:
     """The pairs (a, b) that link, by their whole sets."""
     side = lambda c: nodes.select(F.col("node").alias(c), F.col("n").alias(f"n_{c}"), F.col("shared").alias(f"set_{c}"))
-    both = pairs.join(side("a"), "a").join(side("b"), "b").select("a", "b", "n_a", "n_b", "set_a", "set_b")
+    both = _join(_join(pairs, side("a"), "a"), side("b"), "b").select("a", "b", "n_a", "n_b", "set_a", "set_b")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -196,7 +212,7 @@ def _verified(pairs: DataFrame, nodes: DataFrame, link: int) -> DataFrame:
 def _parts(nodes: DataFrame, edges: DataFrame) -> DataFrame:
     """(node, part)."""
     found = components(edges)
-    return kept(nodes.select("node").join(found.withColumnRenamed("id", "node"), "node", "left").select("node", F.coalesce("root", "node").alias("part")))
+    return kept(_join(nodes.select("node"), found.withColumnRenamed("id", "node"), "node", "left").select("node", F.coalesce("root", "node").alias("part")))
 
 
 def _product(table: pa.Table, link: int) -> pa.Table:
@@ -234,22 +250,21 @@ def _product(table: pa.Table, link: int) -> pa.Table:
 
 def _rest(nodes: DataFrame, lists: DataFrame, parts: DataFrame, link: int) -> DataFrame:
     """Links (a, b) between parts that lists still hold apart, each list's members compared in full."""
-    held = lists.join(parts, "node")
+    held = _join(lists, parts, "node")
     open_lists = held.groupBy("shingle").agg(F.min("part").alias("p"), F.max("part").alias("q")).where("p < q").select("shingle")
-    held = kept(held.join(open_lists, "shingle"))
+    held = kept(_join(held, open_lists, "shingle"))
     if held.isEmpty():
         return held.select(F.col("node").alias("a"), F.col("part").alias("b"))
-    # Members of a list in order of size: neighbours that fit chain all that fit.
-    from pyspark.sql import Window
-
-    before = Window.partitionBy("shingle").orderBy("n", "node")
-    chain = held.select("node", "n", F.lag("node").over(before).alias("b"), F.lag("n").over(before).alias("m")).where(F.col("b").isNotNull() & _fits("n", "m", link)).select(F.col("node").alias("a"), "b")
-    cluster = components(chain)
-    members = held.select("node", "part").distinct().join(cluster.withColumnRenamed("id", "node"), "node", "left").select("node", "part", F.coalesce("root", "node").alias("cluster"))
+    # Members that fit in size are in the same step or in neighbouring ones: each joins its step's first, and that the next step's.
+    first = held.groupBy("shingle", "step").agg(F.min("node").alias("b"))
+    stars = held.join(first.hint("merge"), ["shingle", "step"]).select(F.col("node").alias("a"), "b")
+    above = first.select("shingle", (F.col("step") - 1).alias("step"), F.col("b").alias("a"))
+    cluster = components(stars.unionByName(first.join(above.hint("merge"), ["shingle", "step"]).select("a", "b")))
+    members = _join(held.select("node", "part").distinct(), cluster.withColumnRenamed("id", "node"), "node", "left").select("node", "part", F.coalesce("root", "node").alias("cluster"))
     sizes = members.groupBy("cluster", "part").count()
     largest = sizes.groupBy("cluster").agg(F.max_by("part", F.struct("count", "part")).alias("main"), F.count("*").alias("parts"), F.sum("count").alias("all"), F.max("count").alias("most"))
     largest = largest.where("parts > 1").withColumn("i_all", F.ceil((F.col("all") - F.col("most")) / FEW).cast("int")).withColumn("j_all", F.ceil(F.col("all") / MANY).cast("int"))
-    members = members.join(largest.select("cluster", "main", "i_all", "j_all"), "cluster").join(nodes.select("node", "n", "shared"), "node")
+    members = kept(_join(_join(members, largest.select("cluster", "main", "i_all", "j_all"), "cluster"), nodes.select("node", "n", "shared"), "node"))
     place = F.xxhash64("node")
     few = members.where("part <> main").select("cluster", F.pmod(place, "i_all").cast("int").alias("i"), F.explode(F.sequence(F.lit(0), F.col("j_all") - 1)).alias("j"), F.lit(True).alias("few"), "node", "part", "n", "shared")
     many = members.select("cluster", F.explode(F.sequence(F.lit(0), F.col("i_all") - 1)).alias("i"), F.pmod(place, "j_all").cast("int").alias("j"), F.lit(False).alias("few"), "node", "part", "n", "shared")
@@ -277,28 +292,23 @@ def linked(docs: DataFrame, *, width: int = WIDTH, link: int = LINK, id_col: str
     may = sets.where(F.col("node").isNotNull())
     nodes = kept(may.groupBy("node").agg(F.min("id").alias("first"), F.first("n").alias("n"), F.first("prefix").alias("prefix"), F.first("shared").alias("shared")))
     # Lists of two nodes or more; sizes in steps of the link's ratio.
-    entries = nodes.select("node", "n", F.explode("prefix").alias("shingle"))
+    step = F.floor(F.log(F.col("n").cast("double")) / F.log(F.lit(100 / link))).cast("int")
+    entries = nodes.select("node", "n", step.alias("step"), F.explode("prefix").alias("shingle"))
     several = entries.groupBy("shingle").count().where("count > 1").select("shingle")
-    lists = kept(entries.join(several, "shingle"))
-    step = F.floor(F.log(F.col("n").cast("double")) / F.log(F.lit(100 / link)))
+    lists = kept(_join(entries, several, "shingle"))
 
-    def against(lists: DataFrame, keys: list[str], rank: Column) -> DataFrame:
+    def against(keys: list[str], rank: Column) -> DataFrame:
         pivots = lists.groupBy(*keys).agg(F.min_by(F.struct("node", "n"), rank).alias("pivot"))
-        met = lists.join(pivots, keys).where((F.col("node") != F.col("pivot.node")) & _fits("n", "pivot.n", link))
-        return met.select(F.least("node", "pivot.node").alias("a"), F.greatest("node", "pivot.node").alias("b")).distinct()
+        met = lists.join(pivots.hint("merge"), keys).where((F.col("node") != F.col("pivot.node")) & _fits("n", "pivot.n", link))
+        return met.select(F.least("node", "pivot.node").alias("a"), F.greatest("node", "pivot.node").alias("b"))
 
-    edges = kept(_verified(against(lists.withColumn("step", step), ["shingle", "step"], F.col("node")), nodes, link))
-    parts = _parts(nodes, edges)
-    held = lists.join(parts, "node")
-    open_lists = held.groupBy("shingle").agg(F.min("part").alias("p"), F.max("part").alias("q")).where("p < q").select("shingle")
-    apart = held.join(open_lists, "shingle")
-    pairs = against(apart, ["shingle"], F.xxhash64("node", "shingle"))
-    part = lambda c: parts.select(F.col("node").alias(c), F.col("part").alias(f"part_{c}"))
-    pairs = pairs.join(part("a"), "a").join(part("b"), "b").where("part_a <> part_b").select("a", "b")
-    edges = kept(edges.unionByName(_verified(pairs, nodes, link)))
-    parts = _parts(nodes, edges)
-    edges = kept(edges.unionByName(_rest(nodes, lists, parts, link)))
+    # Two pivots: the first of each size step, the same one for all lists of a group; and another for each list.
+    pairs = against(["shingle", "step"], F.col("node")).unionByName(against(["shingle"], F.xxhash64("node", "shingle"))).distinct()
+    edges = kept(_verified(pairs, nodes, link))
     parts = _parts(nodes, edges)
-    smallest = nodes.select("node", "first").join(parts, "node").groupBy("part").agg(F.min("first").alias("component"))
-    named = parts.join(smallest, "part").select("node", "component")
-    return sets.select("id", "n", "node").join(named, "node", "left").select(F.col("id").alias(id_col), F.col("n").alias("n_shingles"), F.when(F.col("node").isNull(), F.col("id")).otherwise(F.col("component")).alias("component_id"))
+    more = kept(_rest(nodes, lists, parts, link))
+    if not more.isEmpty():
+        parts = _parts(nodes, edges.unionByName(more))
+    smallest = _join(nodes.select("node", "first"), parts, "node").groupBy("part").agg(F.min("first").alias("component"))
+    named = _join(parts, smallest, "part").select("node", "component")
+    return _join(sets.select("id", "n", "node"), named, "node", "left").select(F.col("id").alias(id_col), F.col("n").alias("n_shingles"), F.when(F.col("node").isNull(), F.col("id")).otherwise(F.col("component")).alias("component_id"))
