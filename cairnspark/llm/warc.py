@@ -10,12 +10,13 @@ earlier page has are stored as revisit records.
 from __future__ import annotations
 
 import base64
+import gzip
 import hashlib
 import uuid
 from collections.abc import Iterator
 
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from .shared import kept, shared_folder
@@ -26,7 +27,7 @@ SEGMENT_BYTES = 32 << 10
 #: Bytes of a chunk of the transfer.
 CHUNK_BYTES = 8 << 10
 #: Records of a file at most: with the segment size this bounds what a reader holds.
-FILE_RECORDS = 1000
+FILE_RECORDS = 250
 #: Payloads of at least so many bytes are stored once.
 LEAST_REVISIT = 0
 _DATE = "2024-01-01T00:00:00Z"
@@ -93,7 +94,7 @@ def page_records(page_id: object, url: str | None, html: str, first: object = No
 
 
 def write(pages: DataFrame, folder: str, *, segment: int = SEGMENT_BYTES, least: int = LEAST_REVISIT) -> None:
-    """Writes (page_id, url, html, first, copies) rows as .warc files; Spark's text writer puts the blank lines between records."""
+    """Writes (page_id, url, html, first, copies) rows as compressed archives; Spark's text writer puts the blank lines between records."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -102,7 +103,7 @@ def write(pages: DataFrame, folder: str, *, segment: int = SEGMENT_BYTES, least:
                 out = [r for x in rows for r in page_records(x["page_id"], x["url"], x["html"], x["first"], x["copies"], segment)]
                 yield pa.RecordBatch.from_arrays([pa.array(out, pa.string())], ["record"])
 
-    pages.mapInArrow(run, "record string").write.option("lineSep", "\r\n\r\n").option("maxRecordsPerFile", FILE_RECORDS).text(folder)
+    pages.mapInArrow(run, "record string").write.option("lineSep", "\r\n\r\n").option("maxRecordsPerFile", FILE_RECORDS).option("compression", "gzip").text(folder)
 
 
 def parse(content: bytes) -> Iterator[tuple[dict[str, str], bytes]]:
@@ -122,67 +123,70 @@ def parse(content: bytes) -> Iterator[tuple[dict[str, str], bytes]]:
         at = end + 8 + size
 
 
-SEGMENTS = "name string, kind string, origin string, number int, total long, payload_digest string, refers string, copies long, block binary"
+def decode(numbers: list[int], total: int | None, blocks: list[bytes], mark: str | None) -> tuple[bytes | None, str | None]:
+    """(payload, problem) of a response's segments in order; ``total`` is what the last of them says."""
+    block = b"".join(blocks)
+    if numbers != list(range(1, len(numbers) + 1)):
+        return None, "a segment is missing or repeated"
+    if total is not None and total != len(block):
+        return None, "the total length is wrong"
+    head, _, body = block.partition(CRLF + CRLF)
+    try:
+        payload = dechunk(body) if b"transfer-encoding: chunked" in head.lower() else body
+    except ValueError as e:
+        return None, str(e)
+    return (None, "the digest is wrong") if mark is not None and digest(payload) != mark else (payload, None)
+
+
+RECORDS = "name string, kind string, payload_digest string, refers string, copies long, payload binary, problem string"
+SEGMENTS = RECORDS + ", origin string, number int, total long, block binary"
+_KINDS = [pa.string(), pa.string(), pa.string(), pa.string(), pa.int64(), pa.binary(), pa.string(), pa.string(), pa.int32(), pa.int64(), pa.binary()]
 
 
 def read(spark, folder: str) -> DataFrame:
-    """The records of all archives in a folder, one row each."""
+    """The records of all archives in a folder, one row each: whole ones decoded, segments with their blocks."""
+
+    def row(f: dict[str, str], block: bytes) -> tuple:
+        number, total = f.get("warc-segment-number"), f.get("warc-segment-total-length")
+        mark = f.get("warc-payload-digest", "").removeprefix("sha1:") or None
+        payload, problem = decode([1], None, [block], mark) if number is None and f["warc-type"] == "response" else (None, None)
+        return (f["warc-record-id"], f["warc-type"], mark, f.get("warc-refers-to"), int(f.get("x-copies", 1)), payload, problem, f.get("warc-segment-origin-id", f["warc-record-id"]), int(number) if number else None, int(total) if total else None, block if number else None)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for content in batch.column(0):
-                rows = []
-                for f, block in parse(content.as_py()):
-                    number = f.get("warc-segment-number")
-                    total = f.get("warc-segment-total-length")
-                    rows.append((f["warc-record-id"], f["warc-type"], f.get("warc-segment-origin-id", f["warc-record-id"]), int(number) if number else None, int(total) if total else None, f.get("warc-payload-digest", "").removeprefix("sha1:") or None, f.get("warc-refers-to"), int(f.get("x-copies", 1)), block))
+                rows = [row(*record) for record in parse(gzip.decompress(content.as_py()))]
                 if rows:
-                    kinds = [pa.string(), pa.string(), pa.string(), pa.int32(), pa.int64(), pa.string(), pa.string(), pa.int64(), pa.binary()]
-                    yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(zip(*rows, strict=True), kinds, strict=True)], ["name", "kind", "origin", "number", "total", "payload_digest", "refers", "copies", "block"])
+                    names = [x.split()[0] for x in SEGMENTS.split(", ")]
+                    yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(zip(*rows, strict=True), _KINDS, strict=True)], names)
 
-    return spark.read.format("binaryFile").option("pathGlobFilter", "*.txt").load(folder).select("content").mapInArrow(run, SEGMENTS)
+    return spark.read.format("binaryFile").option("pathGlobFilter", "*.gz").load(folder).select("content").mapInArrow(run, SEGMENTS)
 
 
 def reassemble(records: DataFrame) -> DataFrame:
     """(name, kind, payload_digest, refers, copies, payload, problem): whole records of archives.
 
-    Only segmented records are shuffled; a group is one record's segments.
-    ``problem`` says what is wrong (a segment missing or repeated, a wrong
-    total length, chunk or digest) and the payload is then null; else it is null.
+    Only segments are shuffled; a group is one record's segments.  ``problem``
+    says what is wrong (a segment missing or repeated, a wrong total length,
+    chunk or digest) and the payload is then null; else it is null.
     """
-    whole = records.where(F.col("number").isNull()).select("name", "kind", "payload_digest", "refers", "copies", F.array("block").alias("blocks"), F.lit(None).cast("long").alias("total"), F.array(F.lit(1)).alias("numbers"))
-    segment = F.struct("number", "block")
+    names = [x.split()[0] for x in RECORDS.split(", ")]
     joined = (
         records.where(F.col("number").isNotNull())
         .groupBy("origin")
-        .agg(F.sort_array(F.collect_list(segment)).alias("parts"), F.max("total").alias("total"), F.max("payload_digest").alias("payload_digest"), F.max("copies").alias("copies"))
-        .select(F.col("origin").alias("name"), F.lit("response").alias("kind"), "payload_digest", F.lit(None).cast("string").alias("refers"), "copies", F.col("parts.block").alias("blocks"), F.coalesce("total", F.lit(-1)).alias("total"), F.col("parts.number").alias("numbers"))
+        .agg(F.sort_array(F.collect_list(F.struct("number", "block"))).alias("parts"), F.max("total").alias("total"), F.max("payload_digest").alias("payload_digest"), F.max("copies").alias("copies"))
+        .select(F.col("origin").alias("name"), "payload_digest", "copies", F.coalesce("total", F.lit(-1)).alias("total"), F.col("parts.number").alias("numbers"), F.col("parts.block").alias("blocks"))
     )
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            payloads, problems = [], []
-            for row in batch.to_pylist():
-                payload, problem = None, None
-                if row["kind"] == "response":
-                    block = b"".join(row["blocks"])
-                    if row["numbers"] != list(range(1, len(row["numbers"]) + 1)):
-                        problem = "a segment is missing or repeated"
-                    elif row["total"] is not None and row["total"] != len(block):
-                        problem = "the total length is wrong"
-                    else:
-                        head, _, body = block.partition(CRLF + CRLF)
-                        try:
-                            payload = dechunk(body) if b"transfer-encoding: chunked" in head.lower() else body
-                            if row["payload_digest"] is not None and digest(payload) != row["payload_digest"]:
-                                payload, problem = None, "the digest is wrong"
-                        except ValueError as e:
-                            problem = str(e)
-                payloads.append(payload)
-                problems.append(problem)
-            yield pa.RecordBatch.from_arrays([*(batch.column(i) for i in range(5)), pa.array(payloads, pa.binary()), pa.array(problems, pa.string())], ["name", "kind", "payload_digest", "refers", "copies", "payload", "problem"])
-
-    return whole.unionByName(joined).mapInArrow(run, "name string, kind string, payload_digest string, refers string, copies long, payload binary, problem string")
+            for i in range(0, batch.num_rows, 64):
+                part = batch.slice(i, 64)
+                n = part.num_rows
+                payload, problem = zip(*(decode(x["numbers"], x["total"], x["blocks"], x["payload_digest"]) for x in part.to_pylist()), strict=True)
+                yield pa.RecordBatch.from_arrays([part.column(0), pa.array(["response"] * n), part.column(1), pa.nulls(n, pa.string()), part.column(2), pa.array(payload, pa.binary()), pa.array(problem, pa.string())], names)
+
+    return records.where(F.col("number").isNull()).select(*names).unionByName(joined.mapInArrow(run, RECORDS))
 
 
 def archive(pages: DataFrame, *, id_col: str = "page_id", url_col: str = "url", html_col: str = "html", segment: int = SEGMENT_BYTES, least: int = LEAST_REVISIT) -> DataFrame:
@@ -195,10 +199,15 @@ def archive(pages: DataFrame, *, id_col: str = "page_id", url_col: str = "url",
     """
     spark = pages.sparkSession
     rows = pages.select(F.col(id_col).cast("long").alias("page_id"), F.col(url_col).cast("string").alias("url"), F.coalesce(F.col(html_col), F.lit("")).alias("html")).withColumn("mark", F.sha1(F.col("html").cast("binary")))
-    copies = rows.groupBy("page_id", "mark").agg(F.min("url").alias("url"), F.min("html").alias("html"), F.count("*").alias("copies"))
+    rows = rows.withColumn("key", F.coalesce(F.col("page_id").cast("string"), F.lit("none")))
     # The first page of each payload; partial sums make a payload that many pages share one row per task.
+    copies = rows.groupBy("key", "mark").agg(F.count("*").alias("copies"))
     firsts = rows.groupBy("mark").agg(F.min("page_id").alias("first"))
-    stored = copies.join(firsts, "mark").withColumn("first", F.when(F.col("page_id").eqNullSafe(F.col("first")) | (F.length(F.col("html").cast("binary")) < least), None).otherwise(F.col("first")))
+    about = copies.join(firsts, "mark")
+    # One shuffle of the texts serves the join and the choice of one row of each page.
+    one = F.row_number().over(Window.partitionBy("key", "mark").orderBy(F.col("url").asc_nulls_last()))
+    stored = rows.join(about, ["key", "mark"]).withColumn("place", one).where("place = 1")
+    stored = stored.withColumn("first", F.when(F.col("page_id").eqNullSafe(F.col("first")) | (F.octet_length("html") < least), None).otherwise(F.col("first")))
     folder = f"{shared_folder(spark)}/warc-{uuid.uuid4().hex}"
     write(stored.select("page_id", "url", "html", "first", "copies"), folder, segment=segment, least=least)
     found = kept(reassemble(read(spark, folder)).select("name", "kind", "payload_digest", "refers", "copies", F.length("payload").cast("long").alias("payload_bytes"), "problem"))
