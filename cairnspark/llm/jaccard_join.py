@@ -183,10 +183,12 @@ def components(edges: DataFrame) -> DataFrame:
         for end in ("a", "b"):
             left = _join(left, _up(parents, end), end, "left").withColumn(end, F.coalesce("top", end)).drop("top")
         levels.append(ordered(left))
-    total = _parents(levels.pop())
+    total = kept(_parents(levels.pop()))
     for level in reversed(levels):
         parents = _parents(level)
-        total = _join(parents, _up(total, "root"), "root", "left").select("id", F.coalesce("top", "root").alias("root")).unionByName(total)
+        # An id that hung below another may have been a root again in a later round; it is named once.
+        later = total.join(parents.select("id").hint("merge"), "id", "left_anti")
+        total = kept(_join(parents, _up(total, "root"), "root", "left").select("id", F.coalesce("top", "root").alias("root")).unionByName(later))
     return total
 
 
