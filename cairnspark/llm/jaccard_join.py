@@ -23,7 +23,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from . import exchange, kernel
-from .shared import kept
+from .shared import kept, whole_texts
 
 #: Links: 100 * intersection >= LINK * union.
 LINK = 85
@@ -289,7 +289,7 @@ def linked(docs: DataFrame, *, width: int = WIDTH, link: int = LINK, id_col: str
     tables give no rows.
     """
     buckets = buckets or int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    rows = docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).alias("text"))
+    rows = whole_texts(docs).select(F.col(id_col).cast("long").alias("id"), F.col(text_col).alias("text"))
     sets = kept(_sets(rows, buckets, width, link))
     may = sets.where(F.col("node").isNotNull())
     nodes = kept(may.groupBy("node").agg(F.min("id").alias("first"), F.first("n").alias("n"), F.first("prefix").alias("prefix"), F.first("shared").alias("shared")))

@@ -7,14 +7,19 @@ so no Python code runs per word.
 
 from __future__ import annotations
 
+import ctypes
+import sys
 from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
 
-# Freed Arrow memory goes back to the system at once; workers share an executor's memory with its heap.
+# Freed memory goes back to the system at once, as workers share an executor's memory with its heap: Arrow takes the
+# system's allocator, and that maps every array of a megabyte or more by itself (parameter -3) rather than keeping the space.
 pa.set_memory_pool(pa.system_memory_pool())
+if sys.platform == "linux":
+    ctypes.CDLL(None).mallopt(-3, 1 << 20)
 
 #: Bytes of text that one vectorised step takes; a longer document is a step of its own.
 STEP_BYTES = 4 << 20
@@ -46,18 +51,31 @@ def _byte_values(seed: int) -> np.ndarray:
 
 
 VALUES = {seed: _byte_values(seed) for seed in (1, 2)}
-_powers: dict[str, np.ndarray] = {}
+#: Powers are products of one from each of two short tables.
+_SPAN = 4096
 
 
-def powers(n: int) -> tuple[np.ndarray, np.ndarray]:
-    """BASE**i and BASE**-i for i in 0..n (modulo 2**64); grown on demand."""
-    if "up" not in _powers or len(_powers["up"]) <= n:
-        size = max(n + 1, 1 << 16)
-        for key, base in (("up", BASE), ("down", BASE_INV)):
-            a = np.full(size, base, U64)
-            a[0] = 1
-            _powers[key] = np.cumprod(a)
-    return _powers["up"], _powers["down"]
+def _tables(base: int) -> tuple[np.ndarray, np.ndarray]:
+    near = np.full(_SPAN, base, U64)
+    near[0] = 1
+    near = np.cumprod(near)
+    far = np.full(_SPAN, pow(base, _SPAN, 1 << 64), U64)
+    far[0] = 1
+    return near, np.cumprod(far)
+
+
+_UP, _DOWN = _tables(BASE), _tables(BASE_INV)
+
+
+def power(table: tuple[np.ndarray, np.ndarray], at: np.ndarray) -> np.ndarray:
+    """base**at modulo 2**64, for at below 2**36."""
+    near, far = table
+    low = near[at & (_SPAN - 1)] * far[(at >> 12) & (_SPAN - 1)]
+    top = at >> 24
+    if len(at) and top.max():
+        step = pow(int(far[1]), _SPAN, 1 << 64)
+        low = low * np.array([pow(step, int(k), 1 << 64) for k in range(int(top.max()) + 1)], U64)[top]
+    return low
 
 
 def buffers(column: pa.Array | pa.ChunkedArray) -> tuple[np.ndarray, np.ndarray]:
@@ -127,10 +145,18 @@ def span_hashes(data: np.ndarray, starts: np.ndarray, ends: np.ndarray, seed: in
     """A 64-bit Rabin-Karp hash of each byte span: differences of prefix sums of value * BASE**position."""
     if not len(starts):
         return np.zeros(0, U64)
-    up, down = powers(len(data) + 1)
-    total = np.zeros(len(data) + 1, U64)
-    np.cumsum(VALUES[seed][data] * up[: len(data)], out=total[1:])
-    h = (total[ends] - total[starts]) * down[starts]
+    n = len(data)
+    near, far = _UP
+    total = np.zeros(n + 1, U64)
+    value = VALUES[seed][data]
+    if n <= _SPAN * _SPAN:
+        for i in range(0, n, _SPAN):
+            part = value[i : i + _SPAN]
+            part *= near[: len(part)] * far[i // _SPAN]
+    else:
+        value *= power(_UP, np.arange(n))
+    np.cumsum(value, out=total[1:])
+    h = (total[ends] - total[starts]) * power(_DOWN, starts)
     return mix(h + (ends - starts).astype(U64) * U64(0xA0761D6478BD642F))
 
 

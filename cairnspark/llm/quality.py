@@ -18,6 +18,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from . import kernel
+from .shared import whole_texts
 
 #: Labelled rows that training takes at most: those of the smallest hashes of their ids.
 TRAIN_ROWS = 20_000
@@ -132,7 +133,7 @@ def train(docs: DataFrame, labels: DataFrame, *, label_col: str, id_col: str = "
     """Learns from at most ``rows`` labelled documents; of repeated labels the lower counts, null ids and null labels don't."""
     known = labels.where(F.col(label_col).isNotNull() & F.col(id_col).isNotNull()).groupBy(id_col).agg(F.min(label_col).alias("label"))
     chosen = known.orderBy(F.xxhash64(id_col), id_col).limit(rows)
-    texts = docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text")).join(F.broadcast(chosen.withColumnRenamed(id_col, "id")), "id").select("label", "text")
+    texts = whole_texts(docs).select(F.col(id_col).alias("id"), F.col(text_col).alias("text")).join(F.broadcast(chosen.withColumnRenamed(id_col, "id")), "id").select("label", "text")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -171,7 +172,7 @@ def classify(docs: DataFrame, model: Model, *, text_col: str = "text", score_col
         for batch in batches:
             yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(model.score(_matrix(batch.column(at))))], [*names, score_col])
 
-    return docs.mapInArrow(run, T.StructType([*docs.schema.fields, T.StructField(score_col, T.DoubleType())]))
+    return whole_texts(docs).mapInArrow(run, T.StructType([*docs.schema.fields, T.StructField(score_col, T.DoubleType())]))
 
 
 def fold(id_col: str, folds: int) -> Column:

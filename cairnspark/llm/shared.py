@@ -22,3 +22,14 @@ def kept(df: DataFrame) -> DataFrame:
     """The table written to the shared folder and read from there: lineage ends, and lost executors cost nothing."""
     shared_folder(df.sparkSession)
     return df.checkpoint(eager=True)
+
+
+def whole_texts(df: DataFrame, rows: int = 1500) -> DataFrame:
+    """The same table, with the session's Arrow batches cut to ``rows``: a row carries a whole text.
+
+    A batch size that the user has set stays.
+    """
+    conf, name = df.sparkSession.conf, "spark.sql.execution.arrow.maxRecordsPerBatch"
+    if conf.get(name) == "10000":
+        conf.set(name, str(rows))
+    return df

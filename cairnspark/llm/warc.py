@@ -19,7 +19,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .shared import kept, shared_folder
+from .shared import kept, shared_folder, whole_texts
 
 CRLF = b"\r\n"
 #: Bytes of a record's block at most; longer blocks are cut into segments.
@@ -198,7 +198,7 @@ def archive(pages: DataFrame, *, id_col: str = "page_id", url_col: str = "url",
     the one that others revisit unless it is alone.  Ids must be integers.
     """
     spark = pages.sparkSession
-    rows = pages.select(F.col(id_col).cast("long").alias("page_id"), F.col(url_col).cast("string").alias("url"), F.coalesce(F.col(html_col), F.lit("")).alias("html")).withColumn("mark", F.sha1(F.col("html").cast("binary")))
+    rows = whole_texts(pages, 500).select(F.col(id_col).cast("long").alias("page_id"), F.col(url_col).cast("string").alias("url"), F.coalesce(F.col(html_col), F.lit("")).alias("html")).withColumn("mark", F.sha1(F.col("html").cast("binary")))
     rows = rows.withColumn("key", F.coalesce(F.col("page_id").cast("string"), F.lit("none")))
     # The first page of each payload; partial sums make a payload that many pages share one row per task.
     copies = rows.groupBy("key", "mark").agg(F.count("*").alias("copies"))

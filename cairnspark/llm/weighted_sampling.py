@@ -20,6 +20,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from . import kernel
+from .shared import whole_texts
 
 SAMPLES = 64
 #: Rows of the table of variates; a term takes the row of its hash, and terms that share a row are told apart by their hashes.
@@ -120,7 +121,7 @@ def fingerprint(docs: DataFrame, *, text_col: str = "text", out_col: str = "fing
             texts = [x or "" for x in batch.column(at).to_pylist()]
             yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(_hex(_signatures_of(texts)) if texts else [], pa.string())], [*names, out_col])
 
-    return docs.mapInArrow(run, T.StructType([*docs.schema.fields, T.StructField(out_col, T.StringType())]))
+    return whole_texts(docs).mapInArrow(run, T.StructType([*docs.schema.fields, T.StructField(out_col, T.StringType())]))
 
 
 def in_sequence(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", partitions: int | None = None) -> DataFrame:
@@ -132,7 +133,7 @@ def in_sequence(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "tex
     """
     spark = docs.sparkSession
     n = partitions or int(spark.conf.get("spark.sql.shuffle.partitions"))
-    rows = docs.select(F.col(id_col).cast("long").alias("id"), F.coalesce(F.col(text_col), F.lit("")).alias("text"))
+    rows = whole_texts(docs).select(F.col(id_col).cast("long").alias("id"), F.coalesce(F.col(text_col), F.lit("")).alias("text"))
     bounds = rows.agg(F.percentile_approx("id", [i / n for i in range(1, n + 1)], 20 * n)).first()[0] or []
     upper = np.unique(np.array(bounds, np.int64))
     k = max(len(upper), 1)
