@@ -1,0 +1,315 @@
+"""Operators against brute force on small tables with nulls, empty and long texts, ties, repeated rows and clashing columns."""
+
+import base64
+import collections
+import hashlib
+import math
+import random
+import re
+import zlib
+
+import pytest
+from pyspark.sql import functions as F
+
+public_tokenizers = pytest.importorskip("public_tokenizers")
+
+from cairnspark.llm import bpe_codec, decontamination, kernel, lm_scoring, pii, quality, substrings, token_counts, vocabulary, warc, weighted_sampling  # noqa: E402
+
+LOWER = str.maketrans("ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz")
+SPACE = re.compile(r"[^\x20\x09-\x0D]+")
+SCHEMA = "doc_id long, text string, id long, mark long, spans string, bucket int, payload string"
+
+
+def texts(seed=1):
+    rng = random.Random(seed)
+    words = ["the", "The", "of", "naïve", "x", "1999", "end.", "中文", "it's", "😀", "a-b", " ", "word two"] + [f"w{i}" for i in range(60)]
+    base = [" ".join(rng.choice(words) for _ in range(rng.choice([1, 3, 20, 60]))) for _ in range(25)]
+    shared = " ".join(f"p{i}" for i in range(30))
+    rows = [(i, t) for i, t in enumerate(base)]
+    rows += [(100, shared), (101, base[3] + " " + shared), (102, shared + "\n" + base[4]), (103, base[5]), (103, base[5]), (104, base[6]), (50, base[6])]
+    rows += [(105, None), (106, ""), (107, " \n\t "), (None, base[7]), (None, None), (108, "lone"), (109, " ".join(f"q{i % 700}" for i in range(30_000))), (110, "<|endoftext|> and <|endoftext|>"), (111, "tail  "), (112, "͸ unassigned it's"), (113, "x" * 5000)]
+    return rows
+
+
+ROWS = texts()
+
+
+@pytest.fixture(scope="module")
+def docs(spark):
+    return spark.createDataFrame([(i, t, -1, 5, "s", 3, "p") for i, t in ROWS], SCHEMA).repartition(3)
+
+
+@pytest.fixture(scope="module")
+def empty(spark):
+    return spark.createDataFrame([], SCHEMA)
+
+
+def same(df, expected):
+    assert sorted((tuple(r) for r in df.collect()), key=repr) == sorted(expected, key=repr)
+
+
+def test_token_counts(docs, empty):
+    from tokenizers import Tokenizer
+
+    path = public_tokenizers.path("byte_bpe_50k.json")
+    library = Tokenizer.from_file(path)
+    want = []
+    for i, t in ROWS:
+        n = len(library.encode(t or "", add_special_tokens=False).ids)
+        want.append((i, len((t or "").encode()), n, n > 8))
+    same(token_counts.count_tokens(docs, path, limit=8), want)
+    assert token_counts.count_tokens(empty, path, limit=8).collect() == []
+
+
+def test_whole_tokens_are_proven():
+    ranks, special = vocabulary.read_json(public_tokenizers.path("byte_bpe_50k.json"))
+    whole, broken = vocabulary.prove_whole({**ranks, b"qzxqzxqzx": 99_999})
+    assert special == ["<|endoftext|>"] and b" the" in whole and list(broken) == [b"qzxqzxqzx"]
+
+
+def test_bpe_codec(docs, empty):
+    import tiktoken
+
+    path = public_tokenizers.path("byte_bpe_multi_50k.tiktoken")
+    library = tiktoken.Encoding("own", pat_str=public_tokenizers.PATTERN, mergeable_ranks=vocabulary.read_ranks(path), special_tokens={})
+    coded = bpe_codec.decode(bpe_codec.encode(docs, path), path)
+    want = [(i, library.encode_ordinary(t or ""), (t or "").encode()) for i, t in ROWS]
+    got = [(r.doc_id, list(r.ids), bytes(r.decoded)) for r in coded.collect()]
+    assert sorted(got, key=repr) == sorted(want, key=repr)
+    assert bpe_codec.encode(empty, path).collect() == []
+
+
+def test_unknown_id_is_an_error(spark):
+    path = public_tokenizers.path("byte_bpe_multi_50k.tiktoken")
+    with pytest.raises(Exception):
+        bpe_codec.decode(spark.createDataFrame([(1, [999_999])], "doc_id long, ids array<int>"), path).collect()
+
+
+def held(i):
+    return zlib.crc32(("" if i is None else str(i)).encode()) % 7 == 2
+
+
+def test_lm_scoring(docs, empty):
+    depth, grams, counts = 3, collections.defaultdict(collections.Counter), collections.Counter()
+    words = lambda t: SPACE.findall((t or "").translate(LOWER)) + [" "]
+    signs = lambda t: bytes([254] * depth) + (t or "").encode() + b"\xff"
+    for i, t in ROWS:
+        if not held(i):
+            counts.update(words(t))
+            s = signs(t)
+            for p in range(depth, len(s)):
+                for k in range(depth + 1):
+                    grams[s[p - k : p]][s[p]] += 1
+    n, v = sum(counts.values()), len(counts)
+
+    def score(t):
+        s, total = signs(t), 0.0
+        for p in range(depth, len(s)):
+            out = set()
+            for k in range(depth, -1, -1):
+                left = {a: c for a, c in grams.get(s[p - k : p], {}).items() if a not in out}
+                if not left:
+                    continue
+                size = sum(left.values()) + len(left)
+                if s[p] in left:
+                    total += math.log10(left[s[p]] / size)
+                    break
+                total += math.log10(len(left) / size)
+                out |= set(left)
+            else:
+                total -= math.log10(255 - len(out))
+        return total
+
+    held_out = F.crc32(F.coalesce(F.col("doc_id").cast("string"), F.lit("")).cast("binary")) % 7 == 2
+    got = lm_scoring.score(docs, ~held_out, depth=depth).collect()
+    key = lambda r: repr(r[:5])
+    want = sorted(((i, not held(i), len(words(t)), sum(counts[w] > 0 for w in words(t)), n, sum(math.log10((counts[w] + 1) / (n + v + 1)) for w in words(t)), score(t)) for i, t in ROWS), key=key)
+    got = sorted((tuple(r) for r in got), key=key)
+    assert [g[:5] for g in got] == [w[:5] for w in want]
+    for g, w in zip(sorted(got, key=repr), sorted(want, key=repr), strict=True):
+        assert g[5:] == pytest.approx(w[5:], rel=1e-6)
+    assert lm_scoring.score(empty, F.lit(True)).collect() == []
+    alone = lm_scoring.score(docs.where("doc_id = 108"), F.lit(False)).first()
+    assert alone.train_tokens == 0 and alone.score == pytest.approx(-5 * math.log10(255))
+
+
+def test_trie_is_bounded(spark):
+    docs = spark.createDataFrame([("abcabd" * 20 + str(i),) for i in range(50)], "text string")
+    assert lm_scoring.train(docs, depth=5, most=60).depth < 5
+
+
+def test_substrings(docs, empty):
+    first = {}
+    large = float("inf")
+    words = [(large if i is None else i, SPACE.findall(t or "")) for i, t in ROWS]
+    for i, w in words:
+        for k in range(len(w) - 12):
+            first[tuple(w[k : k + 13])] = min(first.get(tuple(w[k : k + 13]), large), i)
+    want = []
+    for (i, _), (order, w) in zip(ROWS, words, strict=True):
+        gone = [False] * len(w)
+        for k in range(len(w) - 12):
+            if first[tuple(w[k : k + 13])] < order:
+                gone[k : k + 13] = [True] * 13
+        runs = [(m.start(), m.end()) for m in re.finditer("1+", "".join("01"[g] for g in gone))]
+        want.append((i, len(w), sum(gone), runs, " ".join(x for x, g in zip(w, gone, strict=True) if not g)))
+    got = [(r.doc_id, r.n_words, r.n_removed, [tuple(x) for x in r.removed], r.kept) for r in substrings.deduplicate(docs).collect()]
+    assert sorted(got, key=repr) == sorted(want, key=repr)
+    assert any(w[2] for w in want)
+    assert substrings.deduplicate(empty).collect() == []
+
+
+def test_weighted_sampling(spark, docs, empty):
+    got = weighted_sampling.compare_edited(docs).collect()
+    order = sorted(ROWS, key=lambda r: (r[0] is None, -(r[0] or 0), r[1] or ""))
+    want = []
+    for (i, t), (_, n) in zip(order, order[1:] + order[:1], strict=True):
+        t, n = t or "", n or ""
+        edited = t[: len(t) - len(t) // 2] + n[: len(t) // 2]
+        want.append((i, len(t), hashlib.sha256(edited.encode()).hexdigest()))
+    assert sorted((tuple(r[:3]) for r in got), key=repr) == sorted(want, key=repr)
+    marks = weighted_sampling.fingerprint(docs).select("text", "fingerprint").collect()
+    by_text = collections.defaultdict(set)
+    for r in marks:
+        by_text[r.text or ""].add(r.fingerprint)
+    assert all(len(x) == 1 for x in by_text.values())
+    assert weighted_sampling.compare_edited(empty).collect() == []
+    only = weighted_sampling.compare_edited(spark.createDataFrame([(1, "ab cd ef")], "doc_id long, text string")).first()
+    assert only.near_next == 1.0
+    nulls = spark.createDataFrame([(None, "b b b"), (None, "a a")], "doc_id long, text string")
+    assert weighted_sampling.compare_edited(nulls).count() == 2
+
+
+def test_collision_rate_is_generalised_jaccard():
+    rng = random.Random(5)
+    errors = []
+    for _ in range(40):
+        a = [f"w{rng.randrange(30)}" for _ in range(200)]
+        b = a[:120] + [f"w{rng.randrange(30)}" for _ in range(80)]
+        bags = [collections.Counter(zip(x, x[1:])) for x in (a, b)]
+        keys = set(bags[0]) | set(bags[1])
+        truth = sum(min(bags[0][k], bags[1][k]) for k in keys) / sum(max(bags[0][k], bags[1][k]) for k in keys)
+        marks = weighted_sampling._signatures_of([" ".join(a), " ".join(b)])
+        errors.append((marks[0] == marks[1]).mean() - truth)
+    assert abs(sum(errors) / len(errors)) < 0.03
+
+
+def test_decontamination(spark, docs, empty):
+    word = re.compile(r"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+")
+    split = lambda t: word.findall((t or "").translate(LOWER))
+    items = [(1, " ".join(f"P{i}" for i in range(5, 22))), (2, "The naïve"), (3, "lone"), (None, "q1 q2 q3 q4 q5 q6 q7 q8 q9 q10 q11"), (4, None), (5, "..."), (6, "a b c d e f g h i"), (7, "lone")]
+    windows = collections.defaultdict(set)
+    for i, t in items:
+        w = split(t)
+        n = min(10, len(w))
+        for k in range(len(w) - n + 1) if n else []:
+            windows[tuple(w[k : k + n])].add("" if i is None else str(i))
+    want = []
+    for i, t in ROWS:
+        w, hit, found = split(t), set(), set()
+        for n in {len(x) for x in windows}:
+            for k in range(len(w) - n + 1):
+                if names := windows.get(tuple(w[k : k + n])):
+                    hit |= set(range(k, k + n))
+                    found |= names
+        want.append((i, len(w), len(hit), sorted(found)))
+    tests = spark.createDataFrame(items, "item_id long, text string")
+    result = decontamination.contaminated(docs, tests).select("doc_id", "n_words", decontamination.covered("spans"), "items")
+    same(result, [tuple(x) for x in want])
+    assert decontamination.contaminated(empty, tests).collect() == []
+    assert all(not r["items"] for r in decontamination.contaminated(docs, tests.where("false")).collect())
+
+
+def test_quality(spark, docs, empty):
+    rng = random.Random(3)
+    good = [" ".join(f"word{rng.randrange(500)}" for _ in range(80)) + "." for _ in range(60)]
+    bad = ["BUY!! NOW!! " * rng.randrange(5, 60) for _ in range(25)]
+    rows = [(i, t) for i, t in enumerate(good + bad)]
+    table = spark.createDataFrame(rows, "doc_id long, text string")
+    labels = spark.createDataFrame([(i, int(i < 60)) for i, _ in rows if i % 3] + [(None, 1), (2, None)], "doc_id long, quality int")
+    model = quality.train(table, labels, label_col="quality")
+    got = {r.doc_id: r.score for r in quality.classify(table, model).collect()}
+    assert all((got[i] >= quality.CUT) == (i < 60) for i in range(85))
+    every = quality.classify(docs, model).collect()
+    assert len(every) == len(ROWS) and all(0 <= r.score <= 1 for r in every)
+    assert quality.classify(empty, model).collect() == []
+    flat = quality.train(empty, labels, label_col="quality")
+    assert quality.classify(table.limit(1), flat).first().score == pytest.approx(quality.CUT)
+
+
+def test_base_identifiers_and_redaction(spark, docs, empty):
+    rows = [(1, "mail a.b+c@d-e.co.uk. and 1.2.3.4 1.2.3.256, 4111 1111-1111 1111, +1 (017) 555-7713 x"), (2, "@ x@y a@b..c 1.2.3 +12 4111111111111112"), (3, "é😀 z@q.io")]
+    table = spark.createDataFrame(rows, "doc_id long, text string")
+    got = {r.doc_id: r for r in pii.with_spans(table).select("doc_id", pii.written(F.col("spans")).alias("w"), pii.redacted(F.col("text"), F.col("spans")).alias("t")).collect()}
+    assert got[1].w == "email:5:20,ip:26:33,card:45:64,phone:66:83"
+    assert got[1].t == "mail <EMAIL>. and <IP> 1.2.3.256, <CARD>, <PHONE> x"
+    assert (got[2].w, got[2].t) == ("", rows[1][1])
+    assert (got[3].w, got[3].t) == ("email:3:9", "é😀 <EMAIL>")
+    assert pii.with_spans(docs.drop("spans")).count() == len(ROWS)
+    assert pii.with_spans(empty.drop("spans")).collect() == []
+
+
+def base_spans(text):
+    """The contract's patterns as they stand."""
+    patterns = (r"[A-Za-z0-9._%+-]+@[A-Za-z0-9-]+(\.[A-Za-z0-9-]+)+", r"[0-9]+(\.[0-9]+)(\.[0-9]+)(\.[0-9]+)", r"[0-9]([\x20-]?[0-9])+", r"\+[0-9][\x20().0-9-]+[0-9]")
+    out = []
+    for kind, pattern in enumerate(patterns):
+        for m in re.finditer(pattern, text):
+            digits = re.sub("[^0-9]", "", m.group())
+            luhn = sum(sum(divmod(int(c) * (1 + k % 2), 10)) for k, c in enumerate(reversed(digits))) % 10 == 0
+            if (True, all(int(p) <= 255 for p in m.group().split(".")) if kind == 1 else True, 14 <= len(digits) <= 19 and luhn, 10 <= len(digits) <= 15)[kind]:
+                out.append((m.start(), kind, m.end()))
+    return ",".join(f"{pii.KINDS[k]}:{a}:{b}" for a, k, b in sorted(out))
+
+
+def test_base_identifiers_by_fuzz(spark):
+    rng = random.Random(5)
+    signs = ["1", "2", "0", "9", "255", ".", "@", "a", "b-", "_", "+", "%", " ", "-", "(", ")", "é", "😀", "\n", "4111 1111 1111 1111", "+1 (017) 555-7713", "x@y.zz", "1.2.3.4", "  "]
+    rows = [(i, "".join(rng.choice(signs) for _ in range(rng.randrange(60)))) for i in range(1500)]
+    found = pii.with_spans(spark.createDataFrame(rows, "doc_id long, text string"))
+    got = {r.doc_id: r.w for r in found.select("doc_id", pii.written(F.filter("spans", lambda s: s["base"])).alias("w")).collect()}
+    assert got == {i: base_spans(t) for i, t in rows}
+
+
+def test_contexts_discover_identifiers(spark):
+    rows = [(i, f"something here customer card number: 41111111111111{d:02d} thanks") for i, d in enumerate([11, 29, 37, 45, 52, 60, 78, 86])]
+    rows += [(50, "and the card number: 99887766554433 thanks"), (51, "a total of 1234567 things"), (52, "a total of 1234568 things")]
+    table = spark.createDataFrame(rows, "doc_id long, text string")
+    got = {r.doc_id: r.w for r in pii.with_spans(table).select("doc_id", pii.written(F.col("spans")).alias("w")).collect()}
+    seeds = [i for i in range(8) if got[i]]
+    assert len(seeds) >= 3
+    if got[50]:
+        assert got[50] == "card:21:35"
+    assert got[51] == got[52] == ""
+
+
+def test_archives(spark):
+    rows = [(1, "u", "abc"), (1, "u", "abc"), (2, None, "abc"), (None, "x", "abc"), (3, "y", None), (4, "z", ""), (5, "q", "é" * 70_000), (6, "q", "é" * 70_000), (7, "v", "other\r\n\r\nWARC/1.1")]
+    found = warc.archive(spark.createDataFrame(rows, "page_id long, url string, html string")).collect()
+    by = {r.page_id: r for r in found}
+    assert all(r.problem is None for r in found) and by[1].copies == 2
+    assert {k: (r.kind, r.payload_bytes, r.refers_to) for k, r in by.items()} == {
+        1: ("response", 3, None), 2: ("revisit", 3, 1), None: ("revisit", 3, 1), 3: ("response", 0, None), 4: ("revisit", 0, 3),
+        5: ("response", 140_000, None), 6: ("revisit", 140_000, 5), 7: ("response", 17, None),
+    }
+    assert by[5].payload_digest == base64.b32encode(hashlib.sha1(("é" * 70_000).encode()).digest()).decode()
+    assert warc.archive(spark.createDataFrame([], "page_id long, url string, html string")).collect() == []
+
+
+def test_broken_segments_are_named():
+    block = b"HTTP/1.1 200 OK\r\nTransfer-Encoding: chunked\r\n\r\n" + warc.chunked(b"payload" * 3000)
+    parts = warc.pieces(block, 5000)
+    numbers, mark = list(range(1, len(parts) + 1)), warc.digest(b"payload" * 3000)
+    assert warc.decode(numbers, len(block), parts, mark) == (b"payload" * 3000, None)
+    assert warc.decode(numbers[:-1], len(block), parts[:-1], mark)[1] == "the total length is wrong"
+    assert warc.decode([1, 1, 3], None, parts[:3], mark)[1] == "a segment is missing or repeated"
+    assert warc.decode(numbers, len(block), parts, "AAAA")[1] == "the digest is wrong"
+    with pytest.raises(ValueError):
+        list(warc.parse(b"WARC/1.1\r\nContent-Length: 9\r\n\r\nshort\r\n\r\n"))
+
+
+def test_hash_power_beyond_the_tables():
+    import numpy as np
+
+    at = np.array([0, 1, 4095, 4096, (1 << 24) - 1, 1 << 24, (1 << 24) + 12345], np.int64)
+    assert kernel.power(kernel._UP, at).tolist() == [pow(kernel.BASE, int(k), 1 << 64) for k in at]
