@@ -35,7 +35,8 @@ def op1_lm_scoring(spark: SparkSession, sf_dir: str) -> DataFrame:
 def op2_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = warc.archive(table(spark, sf_dir, "pages"))
     each = found.withColumn("copy", F.explode(F.sequence(F.lit(1), F.col("copies").cast("int"))))
-    return each.select("page_id", "payload_bytes", "payload_digest", F.col("kind").alias("record_type"), "refers_to", "problem")
+    size = F.when(F.col("problem").isNotNull(), F.raise_error(F.col("problem")).cast("long")).otherwise(F.col("payload_bytes"))
+    return each.select("page_id", size.alias("payload_bytes"), "payload_digest", F.col("kind").alias("record_type"), "refers_to")
 
 
 @query
@@ -103,3 +104,44 @@ def op10_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
         F.sha2(pii.written(base), 256).alias("base_sha256"),
         pii.written(F.col("spans")).alias("spans"),
     )
+
+
+_BASE32 = "ABCDEFGHIJKLMNOPQRSTUVWXYZ234567"
+_DIGEST = " || ".join(f"substr('{_BASE32}', ((CAST('0x' || substr(mark, {5 * g + 1}, 5) AS INTEGER) >> {15 - 5 * k}) & 31) + 1, 1)" for g in range(8) for k in range(4))
+ORACLES["op2_warc"] = f"""
+WITH p AS (SELECT page_id, encode(coalesce(html, '')) AS b, sha1(encode(coalesce(html, ''))) AS mark FROM pages),
+f AS (SELECT mark, min(page_id) AS first FROM p GROUP BY mark)
+SELECT page_id, CAST(octet_length(b) AS BIGINT) AS payload_bytes, {_DIGEST} AS payload_digest,
+  CASE WHEN page_id = first THEN 'response' ELSE 'revisit' END AS record_type, CASE WHEN page_id <> first THEN first END AS refers_to
+FROM p JOIN f USING (mark)"""
+
+_UPPER, _LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
+ORACLES["op5_decontamination"] = rf"""
+WITH d AS (SELECT doc_id, regexp_extract_all(translate(coalesce(text, ''), '{_UPPER}', '{_LOWER}'), '[0-9a-z\x{{80}}-\x{{10FFFF}}]+') AS w FROM documents),
+i AS (SELECT CAST(item_id AS VARCHAR) AS item, regexp_extract_all(translate(coalesce(text, ''), '{_UPPER}', '{_LOWER}'), '[0-9a-z\x{{80}}-\x{{10FFFF}}]+') AS w FROM benchmark),
+t AS (SELECT item, least(len(w), 10) AS n, array_to_string(w[k : k + least(len(w), 10) - 1], ' ') AS win FROM i, range(1, len(w) - least(len(w), 10) + 2) r(k) WHERE len(w) > 0),
+z AS (SELECT DISTINCT n FROM t),
+x AS (SELECT doc_id, k, n, array_to_string(w[k : k + n - 1], ' ') AS win FROM d, z, range(1, CAST(len(w) - n + 2 AS BIGINT)) r(k)),
+m AS (SELECT x.doc_id, x.k, x.n, t.item FROM x JOIN t ON t.n = x.n AND t.win = x.win),
+h AS (SELECT doc_id, count(DISTINCT j) AS n_hit FROM m, range(k, k + n) r(j) GROUP BY doc_id),
+g AS (SELECT doc_id, count(*) AS n_items, string_agg(item, ',' ORDER BY item) AS items FROM (SELECT DISTINCT doc_id, item FROM m) GROUP BY doc_id)
+SELECT doc_id, CAST(len(w) AS BIGINT) AS n_words, coalesce(n_hit, 0) AS n_hit, coalesce(n_items, 0) AS n_items, sha256(coalesce(items, '')) AS items_sha256, coalesce(n_hit, 0) > 0 AS contaminated
+FROM d LEFT JOIN h USING (doc_id) LEFT JOIN g USING (doc_id)"""
+
+ORACLES["op7_jaccard_join"] = rf"""
+WITH RECURSIVE d AS (SELECT doc_id, regexp_extract_all(translate(coalesce(text, ''), '{_UPPER}', '{_LOWER}'), '[^\x20\x09-\x0D]+') AS w FROM documents),
+s AS (SELECT DISTINCT doc_id, array_to_string(w[k : k + least(len(w), 4) - 1], ' ') AS g FROM d, range(1, len(w) - least(len(w), 4) + 2) r(k) WHERE len(w) > 0),
+n AS (SELECT doc_id, count(*) AS n FROM s GROUP BY doc_id),
+o AS (SELECT a.doc_id AS a, b.doc_id AS b, count(*) AS k FROM s a JOIN s b ON a.g = b.g AND a.doc_id <> b.doc_id GROUP BY ALL),
+e AS (SELECT a, b FROM o JOIN n x ON x.doc_id = a JOIN n y ON y.doc_id = b WHERE 100 * k >= 85 * (x.n + y.n - k)),
+c AS (SELECT doc_id AS a, doc_id AS b FROM n UNION SELECT c.a, e.b FROM c JOIN e ON e.a = c.b)
+SELECT d.doc_id, coalesce(n.n, 0) AS n_shingles, coalesce(min(c.b), d.doc_id) AS component_id FROM d LEFT JOIN n USING (doc_id) LEFT JOIN c ON c.a = d.doc_id GROUP BY d.doc_id, n.n"""
+
+ORACLES["op8_substrings"] = r"""
+WITH d AS (SELECT doc_id, regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+') AS w FROM documents),
+x AS (SELECT doc_id, k, array_to_string(w[k : k + 12], ' ') AS win FROM d, range(1, len(w) - 11) r(k)),
+f AS (SELECT win, min(doc_id) AS first FROM x GROUP BY win),
+g AS (SELECT DISTINCT doc_id, j FROM x JOIN f USING (win), range(k, k + 13) r(j) WHERE first < doc_id),
+a AS (SELECT doc_id, j, w[j] AS word FROM d, range(1, len(w) + 1) r(j)),
+b AS (SELECT a.doc_id, count(*) AS n_words, count(g.j) AS n_removed, string_agg(word, ' ' ORDER BY a.j) FILTER (g.j IS NULL) AS kept FROM a LEFT JOIN g ON g.doc_id = a.doc_id AND g.j = a.j GROUP BY a.doc_id)
+SELECT doc_id, coalesce(n_words, 0) AS n_words, coalesce(n_removed, 0) AS n_removed, sha256(coalesce(kept, '')) AS kept_sha256 FROM d LEFT JOIN b USING (doc_id)"""
