@@ -2,7 +2,9 @@
 
 from __future__ import annotations
 
-from pyspark.sql import SparkSession
+import tempfile
+
+from pyspark.sql import DataFrame, SparkSession
 
 
 def session(name: str = "cairnspark", **conf: str) -> SparkSession:
@@ -17,3 +19,11 @@ def session(name: str = "cairnspark", **conf: str) -> SparkSession:
     for key, value in (settings | conf).items():
         builder = builder.config(key, value)
     return builder.getOrCreate()
+
+
+def written(df: DataFrame) -> DataFrame:
+    """The table in the folder of spark.checkpoint.dir, read from there; where that is unset, in a folder of this machine."""
+    context = df.sparkSession.sparkContext
+    if context._jsc.sc().getCheckpointDir().isEmpty():
+        context.setCheckpointDir(context.getConf().get("spark.checkpoint.dir") or tempfile.mkdtemp(prefix="checkpoint-"))
+    return df.checkpoint(eager=True)
