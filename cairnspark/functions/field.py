@@ -23,11 +23,26 @@ def _logs() -> tuple[np.ndarray, np.ndarray]:
     return power, log
 
 
-def multiply(a: int, values: np.ndarray) -> np.ndarray:
+@cache
+def _products() -> np.ndarray:
+    """All 256 x 256 products."""
     power, log = _logs()
-    if a == 0:
-        return np.zeros_like(values)
-    return np.where(values == 0, 0, power[log[a] + log[values]]).astype(np.uint8)
+    out = power[log[:, None] + log[None, :]]
+    out[0, :] = out[:, 0] = 0
+    return out
+
+
+def multiply(a: int, values: np.ndarray) -> np.ndarray:
+    return values if a == 1 else _products()[a][values]
+
+
+def combined(row: np.ndarray, shares: list[np.ndarray] | np.ndarray) -> np.ndarray:
+    """The sum of the shares times a row's factors; factors of 0 cost nothing."""
+    out = np.zeros(len(shares[0]), np.uint8)
+    for c, share in zip(row.tolist(), shares, strict=True):
+        if c:
+            out ^= multiply(c, share)
+    return out
 
 
 def inverse(a: int) -> int:
@@ -54,7 +69,7 @@ def split(data: bytes, k: int, share: int | None = None) -> np.ndarray:
 def encode(data: bytes, k: int = 4, m: int = 2, share: int | None = None) -> list[bytes]:
     """All k + m shares."""
     shares = split(data, k, share)
-    parity = [np.bitwise_xor.reduce([multiply(int(c), s) for c, s in zip(row, shares, strict=True)]) for row in parity_rows(k, m)]
+    parity = [combined(row, shares) for row in parity_rows(k, m)]
     return [s.tobytes() for s in [*shares, *parity]]
 
 
@@ -78,12 +93,12 @@ def reconstruct(shares: list[bytes | None], length: int, k: int = 4, m: int = 2)
     present = tuple(i for i, s in enumerate(shares) if s is not None)[:k]
     if len(present) < k:
         raise ValueError("too few shares are left")
-    have = [np.frombuffer(shares[i], np.uint8) for i in present]
     if present == tuple(range(k)):
-        return b"".join(h.tobytes() for h in have)[:length]
+        return b"".join(shares[:k])[:length]
+    have = [np.frombuffer(shares[i], np.uint8) for i in present]
     solver = _solver(k, m, present)
-    out = [np.bitwise_xor.reduce([multiply(int(c), h) for c, h in zip(row, have, strict=True)]) for row in solver]
-    return np.concatenate(out).tobytes()[:length]
+    # Present data shares are taken as they are; only missing ones are worked out.
+    return b"".join(shares[i] if shares[i] is not None else combined(solver[i], have).tobytes() for i in range(k))[:length]
 
 
 def loss_patterns(total: int, most: int, least: int = 1) -> list[tuple[int, ...]]:
