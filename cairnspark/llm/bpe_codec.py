@@ -17,7 +17,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from . import exchange, kernel, pretokens, vocabulary
-from .shared import whole_texts
+from .shared import buckets_for, whole_texts
 
 
 def _tokens(data: np.ndarray, offsets: np.ndarray) -> exchange.Tokens:
@@ -51,8 +51,7 @@ def encode(docs: DataFrame, path: str, *, id_col: str = "doc_id", text_col: str
     tables need no care.  Long texts make blocks of their own.
     """
     ranks = vocabulary.read_ranks(path)
-    spark = docs.sparkSession
-    buckets = buckets or int(spark.conf.get("spark.sql.shuffle.partitions"))
+    buckets = buckets or buckets_for(docs)
     rows = whole_texts(docs).select(F.col(id_col).alias("id"), F.col(text_col).alias("text"), F.lit(False).alias("counted"))
 
     def answer(asked: exchange.Asked):

@@ -137,7 +137,7 @@ class Asked:
 def answers(words: DataFrame, answer: Callable[[Asked], tuple[Callable[[np.ndarray], bytes], int]]) -> DataFrame:
     """(bucket, block, payload, total): ``answer`` sees a bucket's distinct words and returns a function that writes what a list of them gets, and a number that callers may sum over buckets.
 
-    A bucket is 1/buckets of the corpus's distinct words, once per block; ``buckets`` follows spark.sql.shuffle.partitions.
+    A bucket is 1/buckets of the corpus's distinct words, once per block; ``shared.buckets_for`` keeps its size.
     """
 
     def run(key: tuple[pa.Scalar, ...], table: pa.Table) -> pa.Table:

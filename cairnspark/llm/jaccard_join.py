@@ -23,7 +23,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from . import exchange, kernel
-from .shared import kept, whole_texts
+from .shared import buckets_for, kept, whole_texts
 
 #: Links: 100 * intersection >= LINK * union.
 LINK = 85
@@ -288,7 +288,7 @@ def linked(docs: DataFrame, *, width: int = WIDTH, link: int = LINK, id_col: str
     null ids only has a null component.  Further columns are ignored; empty
     tables give no rows.
     """
-    buckets = buckets or int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    buckets = buckets or buckets_for(docs)
     rows = whole_texts(docs).select(F.col(id_col).cast("long").alias("id"), F.col(text_col).alias("text"))
     sets = kept(_sets(rows, buckets, width, link))
     may = sets.where(F.col("node").isNotNull())

@@ -33,3 +33,18 @@ def whole_texts(df: DataFrame, rows: int = 1500) -> DataFrame:
     if conf.get(name) == "10000":
         conf.set(name, str(rows))
     return df
+
+
+#: Bytes of input for each range of a hash exchange.
+BUCKET_BYTES = 64 << 20
+
+
+def buckets_for(df: DataFrame) -> int:
+    """Ranges of a hash exchange over a table: as many as shuffle partitions, and more where its sources are large, so that a range keeps its size.
+
+    Sizes are the optimiser's for the leaves of the plan; a leaf of unknown size counts nothing.
+    """
+    leaves = df._jdf.queryExecution().optimizedPlan().collectLeaves()
+    sizes = [int(str(leaves.apply(i).stats().sizeInBytes())) for i in range(leaves.size())]
+    known = sum(s for s in sizes if s < 1 << 50)
+    return max(int(df.sparkSession.conf.get("spark.sql.shuffle.partitions")), known // BUCKET_BYTES)

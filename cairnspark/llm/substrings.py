@@ -18,7 +18,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from . import exchange, kernel
-from .shared import whole_texts
+from .shared import buckets_for, whole_texts
 
 #: The place of a null id: after all others.
 LAST = np.iinfo(np.int64).max
@@ -68,8 +68,7 @@ def deduplicate(docs: DataFrame, *, width: int = 13, id_col: str = "doc_id", tex
     all others.  Further columns are ignored; an empty table gives no rows.
     Hashes have 64 bits and 16 more of a second hash.
     """
-    spark = docs.sparkSession
-    buckets = buckets or int(spark.conf.get("spark.sql.shuffle.partitions"))
+    buckets = buckets or buckets_for(docs)
     rows = whole_texts(docs).select(F.col(id_col).cast("long").alias("id"), F.col(text_col).alias("text"))
     # Ranges of equal width in the space of hashes.
     edges = np.array([(k << 64) // buckets for k in range(1, buckets)], np.uint64)
