@@ -30,6 +30,8 @@ from . import kernel
 
 #: Bytes of text in a block; a longer document is a block of its own.
 BLOCK_BYTES = 4 << 20
+#: Added to the buckets of further replies where they meet the others.
+FURTHER = 1 << 30
 
 
 def pack(*parts: bytes) -> bytes:
@@ -163,8 +165,8 @@ def answers(words: DataFrame, answer: Callable[[Asked], tuple[Callable[[np.ndarr
     return words.groupBy("bucket").applyInArrow(run, "bucket int, block long, payload binary, total long")
 
 
-def sequence_rows(docs: DataFrame, tokens: Callable[[np.ndarray, np.ndarray], Tokens], buckets: int, extra: Callable[[np.ndarray, np.ndarray], np.ndarray] | None = None, size: int = BLOCK_BYTES) -> DataFrame:
-    """(block, ids, counted, extra, payload): one row per block with its documents' token sequences."""
+def sequence_rows(docs: DataFrame, tokens: Callable[[np.ndarray, np.ndarray], Tokens], buckets: int, texts: bool = False, size: int = BLOCK_BYTES) -> DataFrame:
+    """(block, ids, counted, payload): one row per block with its documents' token sequences, and with their texts on demand."""
     kind = docs.schema[0].dataType
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -172,11 +174,10 @@ def sequence_rows(docs: DataFrame, tokens: Callable[[np.ndarray, np.ndarray], To
             t = tokens(data, offsets)
             counted = rows.column(2).to_numpy(zero_copy_only=False).astype(bool)
             block = Block.of(t, buckets, counted)
-            payload = pack(kernel.put_varints(block.index), kernel.put_varints(np.diff(t.first)), kernel.put_varints(block.sent), struct.pack("<Q", block.mark))
-            value = extra(data, offsets) if extra else np.zeros(rows.num_rows)
-            yield pa.RecordBatch.from_arrays([pa.array([number]), pa.array([rows.column(0).to_pylist()], pa.list_(rows.schema.field(0).type)), pa.array([counted.tolist()], pa.list_(pa.bool_())), pa.array([value.tolist()], pa.list_(pa.float64())), binary([payload])], ["block", "ids", "counted", "extra", "payload"])
+            payload = pack(kernel.put_varints(block.index), kernel.put_varints(np.diff(t.first)), kernel.put_varints(block.sent), struct.pack("<Q", block.mark), *((data.tobytes(), kernel.put_varints(np.diff(offsets))) if texts else ()))
+            yield pa.RecordBatch.from_arrays([pa.array([number]), pa.array([rows.column(0).to_pylist()], pa.list_(rows.schema.field(0).type)), pa.array([counted.tolist()], pa.list_(pa.bool_())), binary([payload])], ["block", "ids", "counted", "payload"])
 
-    schema = T.StructType([T.StructField("block", T.LongType()), T.StructField("ids", T.ArrayType(kind)), T.StructField("counted", T.ArrayType(T.BooleanType())), T.StructField("extra", T.ArrayType(T.DoubleType())), T.StructField("payload", T.BinaryType())])
+    schema = T.StructType([T.StructField("block", T.LongType()), T.StructField("ids", T.ArrayType(kind)), T.StructField("counted", T.ArrayType(T.BooleanType())), T.StructField("payload", T.BinaryType())])
     return docs.mapInArrow(run, schema)
 
 
@@ -185,19 +186,29 @@ binary = kernel.binary
 
 @dataclass
 class Met:
-    """A block with its answers: for each answer in order, and for each token its answer's number."""
+    """A block with its answers: for each answer in order, and for each token its answer's number.
+
+    ``texts`` has the texts and their lengths if the sequences do, ``further``
+    the payloads of the further replies by bucket.
+    """
 
     ids: pa.Array
     counted: np.ndarray
-    extra: np.ndarray
     first: np.ndarray
     answer: np.ndarray
     replies: list[bytes]
+    texts: list[bytes]
+    further: list[bytes]
 
 
-def reassemble(sequences: DataFrame, replies: DataFrame, finish: Callable[[Met], list[pa.Array]], schema: T.StructType) -> DataFrame:
-    """Brings answers and sequences of a block together; ``finish`` makes its documents' rows."""
+def reassemble(sequences: DataFrame, replies: DataFrame, finish: Callable[[Met], list[pa.Array]], schema: T.StructType, further: DataFrame | None = None) -> DataFrame:
+    """Brings answers and sequences of a block together; ``finish`` makes its documents' rows.
+
+    ``further``: (bucket, block, payload) of another exchange over the same blocks.
+    """
     both = sequences.withColumn("bucket", F.lit(-1)).unionByName(replies.drop("total"), allowMissingColumns=True)
+    if further is not None:
+        both = both.unionByName(further.withColumn("bucket", F.col("bucket") + FURTHER), allowMissingColumns=True)
 
     def run(key: tuple[pa.Scalar, ...], table: pa.Table) -> pa.Table:
         bucket = table["bucket"].to_numpy()
@@ -205,8 +216,9 @@ def reassemble(sequences: DataFrame, replies: DataFrame, finish: Callable[[Met],
         if bucket[order[0]] != -1:
             raise RuntimeError("answers for a block without its sequences")
         blobs = table["payload"].to_pylist()
-        index, lengths, sent, mark = unpack(blobs[order[0]])
-        parts = [blobs[k] for k in order[1:]]
+        index, lengths, sent, mark, *texts = unpack(blobs[order[0]])
+        parts = [blobs[k] for k in order[1:] if bucket[k] < FURTHER]
+        more = [blobs[k] for k in order[1:] if bucket[k] >= FURTHER]
         if any(p[:8] != mark for p in parts):
             raise RuntimeError("a block's words differ between two readings of the input; checkpoint the input first")
         sent = kernel.get_varints(sent)
@@ -214,7 +226,7 @@ def reassemble(sequences: DataFrame, replies: DataFrame, finish: Callable[[Met],
         answer[sent] = np.arange(len(sent))
         row = table.slice(int(order[0]), 1)
         first = np.concatenate([[0], np.cumsum(kernel.get_varints(lengths))])
-        met = Met(row["ids"].combine_chunks().flatten(), np.array(row["counted"][0].as_py(), bool), np.array(row["extra"][0].as_py(), float), first, answer[kernel.get_varints(index)], [p[8:] for p in parts])
+        met = Met(row["ids"].combine_chunks().flatten(), np.array(row["counted"][0].as_py(), bool), first, answer[kernel.get_varints(index)], [p[8:] for p in parts], texts, more)
         return pa.Table.from_arrays(finish(met), schema=out)
 
     from pyspark.sql.pandas.types import to_arrow_schema

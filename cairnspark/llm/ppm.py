@@ -80,10 +80,15 @@ class Index:
 
 
 class Trie:
-    """Pretrained counts, with the code length of every case worked out once."""
+    """Pretrained counts, with the code length of every case worked out once.
 
-    def __init__(self, keys: np.ndarray, counts: np.ndarray, depth: int):
-        self.depth = depth
+    ``low`` is a trie of the lower orders.  ``keys`` may then be a part of the
+    deepest grams, if it has all those of each context of order low.depth + 1
+    that it has: every longer context is within one such part.
+    """
+
+    def __init__(self, keys: np.ndarray, counts: np.ndarray, depth: int, low: Trie | None = None):
+        self.depth, own = depth, low.depth + 1 if low else 0
         order = np.argsort(keys)
         keys, counts = keys[order], counts[order].astype(np.float64)
         self.node: list[Index] = [None] * (depth + 1)
@@ -92,7 +97,7 @@ class Trie:
         self.log_rest, self.log_rest_escape = {}, {}
         self.kinds0 = 0
         level = {depth: (keys, counts)}
-        for k in range(depth - 1, -1, -1):
+        for k in range(depth - 1, own - 1, -1):
             up, c = level[k + 1]
             suffix = up & bits(k + 1)
             order = np.argsort(suffix, kind="stable")
@@ -111,12 +116,24 @@ class Trie:
             self.log_count[k] = np.log10(c)
             self.log_total[k] = np.log10(total + kinds)
             self.log_escape[k] = np.log10(kinds) - self.log_total[k]
-        self.kinds0 = int(stats[0][2][0]) if len(stats[0][2]) else 0
-        for k in range(1, depth + 1):
+        if low:
+            self.kinds0 = low.kinds0
+            level[own - 1], stats[own - 1] = low.top
+            for k in range(own):
+                self.node[k], self.context[k] = low.node[k], low.context[k]
+            for name in ("log_count", "log_total", "log_escape", "log_rest", "log_rest_escape"):
+                getattr(self, name).update(getattr(low, name))
+        else:
+            self.kinds0 = int(stats[0][2][0]) if len(stats[0][2]) else 0
+        self.top = level[depth], stats[depth]
+        for k in range(max(own, 1), depth + 1):
             key, _ = level[k]
             context, _, kinds, at = stats[k]
             low_key, low_count = level[k - 1]
-            seen = low_count[np.searchsorted(low_key, key & bits(k))]
+            place = np.searchsorted(low_key, key & bits(k))
+            if low and k == own and not np.array_equal(np.append(low_key, bits(8))[place], key & bits(k)):
+                raise RuntimeError("grams differ between two readings of the input; checkpoint the input first")
+            seen = low_count[place]
             excluded = np.add.reduceat(seen, at) if len(at) else seen
             low_context, low_total, low_kinds, _ = stats[k - 1]
             y = np.searchsorted(low_context, context & bits(k - 1))
@@ -126,7 +143,7 @@ class Trie:
                 self.log_rest[k] = np.where(rest > 0, np.log10(rest), 0)
                 self.log_rest_escape[k] = np.where(rest_kinds > 0, np.log10(rest_kinds) - self.log_rest[k], 0)
         top = self.node[depth].keys >> U64(8)
-        self.log_hit = (self.log_count.pop(depth) - self.log_total[depth][self.context[depth].find(top)]).astype(np.float32)
+        self.log_hit = (self.log_count[depth] - self.log_total[depth][self.context[depth].find(top)]).astype(np.float32)
 
     def score(self, gram: np.ndarray) -> np.ndarray:
         """log10 of the probability of each gram's symbol after its context."""

@@ -8,6 +8,7 @@ import random
 import re
 import zlib
 
+import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
@@ -138,6 +139,21 @@ def test_trie_is_bounded(spark):
     assert lm_scoring.train(docs, depth=5, most=60).depth < 5
 
 
+def test_scores_keep_their_depth(spark):
+    depth, rng = 5, np.random.default_rng(3)
+    rows = [(i, bytes(rng.integers(48, 112, 100_000, np.uint8)).decode()) for i in range(50)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    signs = [np.frombuffer(bytes([254] * depth) + t.encode() + b"\xff", np.uint8).astype(np.int64) for _, t in rows]
+    grams = [sum(s[k : len(s) - depth + k] << (8 * (depth - k)) for k in range(depth + 1)) for s in signs]
+    keys, code, n = np.unique(np.concatenate(grams), return_inverse=True, return_counts=True)
+    assert len(keys) > lm_scoring.MOST_NODES
+    _, context, kinds = np.unique(keys >> 8, return_inverse=True, return_counts=True)
+    hit = np.log10(n / (np.bincount(context, n) + kinds)[context])[code]
+    want = [float(x.sum()) for x in np.split(hit, np.cumsum([len(g) for g in grams])[:-1])]
+    got = {r.doc_id: r.score for r in lm_scoring.score(docs, F.lit(True)).collect()}
+    assert [got[i] for i in range(len(rows))] == pytest.approx(want, rel=1e-6)
+
+
 def test_substrings(docs, empty):
     first = {}
     large = float("inf")
