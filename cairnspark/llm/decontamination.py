@@ -84,7 +84,12 @@ def _window_text(start: Column, length: Column) -> Column:
     return F.array_join(F.slice(F.col("words"), start + 1, length), " ")
 
 
-def contaminated(docs: DataFrame, items: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", item_id_col: str = "item_id", item_text_col: str = "text") -> DataFrame:
+def text_mark(text: Column) -> Column:
+    """The hash by which texts are told apart; a null text is an empty one."""
+    return F.xxhash64(F.coalesce(text, F.lit("")))
+
+
+def contaminated(docs: DataFrame, items: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", item_id_col: str = "item_id", item_text_col: str = "text", mark_col: str | None = None) -> DataFrame:
     """Finds test items in documents: (id, n_words, spans, items) for every row of ``docs``.
 
     A window is WINDOW consecutive words of an item, or the whole item if it
@@ -93,7 +98,8 @@ def contaminated(docs: DataFrame, items: DataFrame, *, id_col: str = "doc_id", t
     with occurring windows; both empty if there are none.  A null text has no
     words; a null item id is an empty string.  Rows of ``docs`` equal in id and
     text get the same result each, null ids included; further columns are
-    ignored; empty tables give empty results.
+    ignored; empty tables give empty results.  ``mark_col`` names a further
+    column of ``text_mark``, which tells rows of one id apart.
     """
     tests = items.select(F.coalesce(F.col(item_id_col).cast("string"), F.lit("")).alias("item"), words(F.col(item_text_col)).alias("words")).where(F.size("words") > 0)
     sizes = [r[0] for r in tests.where(F.size("words") < WINDOW).select(F.size("words")).distinct().collect()]  # 1 to 9
@@ -103,7 +109,7 @@ def contaminated(docs: DataFrame, items: DataFrame, *, id_col: str = "doc_id", t
 
     # An inner explode would have the optimiser push a test of the array's size down through the projections, writing each of them out
     # several times in the next; the outer one, without its nulls, is the same and does not.
-    rows = docs.select(F.col(id_col).alias("id"), F.coalesce(F.col(text_col), F.lit("")).alias("text")).withColumn("mark", F.xxhash64("text"))
+    rows = docs.select(F.col(id_col).alias("id"), F.coalesce(F.col(text_col), F.lit("")).alias("text")).withColumn("mark", text_mark(F.col("text")))
     printed = with_grams(rows.select("id", "mark", words(F.col("text")).alias("words")), sorted(sizes)).select("id", "mark", F.explode_outer("prints").alias("p")).where("p is not null").select("id", "mark", "p.length", "p.print")
     hits = printed.join(_small(test_prints), ["length", "print"]).groupBy("id", "mark").agg(F.collect_set(F.struct("length", "print")).alias("hits"))
 
@@ -134,6 +140,7 @@ def contaminated(docs: DataFrame, items: DataFrame, *, id_col: str = "doc_id", t
         "n_words",
         F.coalesce("b.spans", F.array().cast("array<struct<start: int, end: int>>")).alias("spans"),
         F.coalesce("b.items", F.array().cast("array<string>")).alias("items"),
+        *([F.col("c.mark").alias(mark_col)] if mark_col else []),
     )
     return out
 

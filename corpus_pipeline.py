@@ -34,10 +34,11 @@ def keep_one_of_each(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataF
 
 
 def drop_leaks(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents in which no window of a benchmark item occurs."""
-    found = decontamination.contaminated(docs, _table(spark, sf_dir, "benchmark"))
-    leaks = found.where(F.size("spans") > 0).select("doc_id").distinct()
-    return docs.alias("d").join(leaks.alias("l"), F.col("d.doc_id").eqNullSafe(F.col("l.doc_id")), "left_anti")
+    """Documents in which no window of a benchmark item occurs; of rows with equal or null ids only those that have one go."""
+    found = decontamination.contaminated(docs, _table(spark, sf_dir, "benchmark"), mark_col="mark")
+    leaks = found.where(F.size("spans") > 0).select("doc_id", "mark").distinct()
+    same = F.col("d.doc_id").eqNullSafe(F.col("l.doc_id")) & (decontamination.text_mark(F.col("d.text")) == F.col("l.mark"))
+    return docs.alias("d").join(leaks.alias("l"), same, "left_anti")
 
 
 def redact(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -70,3 +70,10 @@ def test_empty(spark, folder):
     for _, stage in corpus_pipeline.STAGES:
         docs = stage(spark, docs, folder)
         assert docs.count() == 0
+
+
+def test_leaks_go_by_row(spark, folder):
+    rows = [(None, "clean words of one without an id"), (None, f"a {SHARED} leak"), (None, None), (7, f"b {SHARED} leak"), (7, "clean words of seven"), (8, "clean words of eight")]
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    left = [tuple(r) for r in corpus_pipeline.drop_leaks(spark, docs, folder).collect()]
+    assert sorted(left, key=repr) == sorted((r for r in rows if SHARED not in (r[1] or "")), key=repr)
