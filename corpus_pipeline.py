@@ -26,11 +26,15 @@ def keep_good(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def keep_one_of_each(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Of each group of near duplicates the document with the smallest id; of rows with equal ids one; rows without an id stay."""
-    found = jaccard_join.linked(docs, width=SHINGLE, link=NEAR)
-    others = found.where(F.col("doc_id") != F.col("component_id")).select("doc_id").distinct()
-    left = docs.where(F.col("doc_id").isNotNull()).join(others, "doc_id", "left_anti")
-    return left.dropDuplicates(["doc_id"]).unionByName(docs.where(F.col("doc_id").isNull())).select(docs.columns)
+    """Of each group of near duplicates the document with the smallest id, null being the largest; of rows equal in id and text one.
+
+    Rows of one id with different texts, and rows without an id, are documents of their own.
+    """
+    keyed = docs.withColumn("_key", F.xxhash64("doc_id", "text"))
+    found = jaccard_join.linked(keyed, width=SHINGLE, link=NEAR, id_col="_key").select("_key", "component_id").distinct()
+    members = keyed.select("_key", "doc_id").distinct().join(found, "_key")
+    first = members.groupBy("component_id").agg(F.min_by("_key", F.struct(F.isnull("doc_id"), "doc_id", "_key")).alias("_key")).select("_key")
+    return keyed.dropDuplicates(["_key"]).join(first, "_key", "left_semi").select(docs.columns)
 
 
 def drop_leaks(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

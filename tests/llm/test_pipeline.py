@@ -77,3 +77,12 @@ def test_leaks_go_by_row(spark, folder):
     docs = spark.createDataFrame(rows, "doc_id long, text string")
     left = [tuple(r) for r in corpus_pipeline.drop_leaks(spark, docs, folder).collect()]
     assert sorted(left, key=repr) == sorted((r for r in rows if SHARED not in (r[1] or "")), key=repr)
+
+
+def test_copies_go_by_row(spark, folder):
+    a, b, c, d = (" ".join(f"{x}{i}" for i in range(60)) for x in "abcd")
+    kept = [(3, a), (7, b), (9, c), (9, None), (9, ""), (None, d), (None, "lone")]
+    docs = spark.createDataFrame([*kept, (7, a), (7, b), (9, c + " more"), (None, d), (None, a + " more"), (11, b)], "doc_id long, text string")
+    left = [tuple(r) for r in corpus_pipeline.keep_one_of_each(spark, docs, folder).collect()]
+    same = lambda r: (r[0], "c" if (r[1] or "").startswith(c) else r[1])
+    assert sorted(map(same, left), key=repr) == sorted(map(same, kept), key=repr)
