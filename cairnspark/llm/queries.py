@@ -34,9 +34,8 @@ def op1_lm_scoring(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query
 def op2_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = warc.archive(table(spark, sf_dir, "pages"))
-    each = found.withColumn("copy", F.explode(F.sequence(F.lit(1), F.col("copies").cast("int"))))
     size = F.when(F.col("problem").isNotNull(), F.raise_error(F.col("problem")).cast("long")).otherwise(F.col("payload_bytes"))
-    return each.select("page_id", size.alias("payload_bytes"), "payload_digest", F.col("kind").alias("record_type"), "refers_to")
+    return found.select("page_id", size.alias("payload_bytes"), "payload_digest", F.col("kind").alias("record_type"), "refers_to")
 
 
 @query

@@ -304,18 +304,44 @@ def test_contexts_discover_identifiers(spark):
 
 
 def test_archives(spark):
-    rows = [(1, "u", "abc"), (1, "u", "abc"), (2, None, "abc"), (None, "x", "abc"), (3, "y", None), (4, "z", ""), (5, "q", "é" * 70_000), (6, "q", "é" * 70_000), (7, "v", "other\r\n\r\nWARC/1.1")]
-    found = warc.archive(spark.createDataFrame(rows, "page_id long, url string, html string")).collect()
-    by = {r.page_id: r for r in found}
-    assert all(r.problem is None for r in found) and by[1].copies == 2
-    assert {k: (r.kind, r.payload_bytes, r.refers_to) for k, r in by.items()} == {
-        1: ("response", 3, None), 2: ("revisit", 3, 1), None: ("revisit", 3, 1), 3: ("response", 0, None), 4: ("revisit", 0, 3),
-        5: ("response", 140_000, None), 6: ("revisit", 140_000, 5), 7: ("response", 17, None),
-    }
-    assert by[5].payload_digest == base64.b32encode(hashlib.sha1(("é" * 70_000).encode()).digest()).decode()
+    rows = [(1, "u", "abc"), (1, "u", "abc"), (1, "other", "abc"), (1, "u", "xyz"), (2, None, "abc"), (None, "x", "abc"), (None, "n", "none"), (3, "y", None), (4, "z", ""), (5, "q", "é" * 70_000), (6, "q r", "é" * 70_000), (7, "v", "other\r\n\r\nWARC/1.1")]
+    # Clashing names: extra columns that the operator uses inside.
+    table = spark.createDataFrame([(*r, "m", 9, "k") for r in rows], "page_id long, url string, html string, mark string, first long, kind string")
+    found = warc.archive(table).collect()
+    sizes = {t or "": len((t or "").encode()) for _, _, t in rows}
+    mark = {t: base64.b32encode(hashlib.sha1(t.encode()).digest()).decode() for t in sizes}
+    first = {t: min((i for i, _, x in rows if (x or "") == t and i is not None), default=None) for t in sizes}
+    want = []
+    for i, u, t in rows:
+        t = t or ""
+        own = i == first[t]
+        want.append((i, "response" if own else "revisit", mark[t], sizes[t], None if own else first[t], (u or f"urn:page:{i}").replace(" ", ""), None))
+    assert sorted((tuple(r) for r in found), key=repr) == sorted(want, key=repr)
     assert warc.archive(spark.createDataFrame([], "page_id long, url string, html string")).collect() == []
 
 
+def test_most_pages_are_cut_into_segments(spark, tmp_path):
+    pages = spark.read.parquet("/root/testdata/sf0.001/pages.parquet").select("page_id", "url", "html", F.lit(None).cast("long").alias("first"))
+    warc.write(pages, str(tmp_path / "warc"))
+    records = warc.read(spark, str(tmp_path / "warc"))
+    sizes = [len(r.numbers) for r in records.where("origin is not null").collect()]
+    assert len(sizes) > pages.count() / 2 and max(sizes) > 5
+    whole = warc.reassemble(records).select(F.col("payload").cast("string").alias("html"), "problem")
+    assert whole.where("problem is not null").count() == 0
+    assert whole.select("html").exceptAll(pages.select(F.coalesce("html", F.lit("")).alias("html"))).count() == 0
+
+
+def test_segments_in_any_order_and_file():
+    records = [r.encode() + b"\r\n\r\n" for r in warc.page_records(7, "u", "payload " * 1000, None, "3-1")]
+    assert len(records) > 5
+    halves = warc.file_rows(b"".join(records[::-2])), warc.file_rows(b"".join(records[-2::-2]))
+    names = [x.split()[0] for x in warc.SEGMENTS.split(", ")]
+    parts = [dict(zip(names, r, strict=True)) for rows in halves for r in rows]
+    numbers, blocks = warc.joined(parts)
+    total = max(p["total"] or 0 for p in parts)
+    assert warc.decode(numbers, total, blocks, warc.digest(b"payload " * 1000)) == (b"payload " * 1000, None)
+
+
 def test_broken_segments_are_named():
     block = b"HTTP/1.1 200 OK\r\nTransfer-Encoding: chunked\r\n\r\n" + warc.chunked(b"payload" * 3000)
     parts = warc.pieces(block, 5000)
