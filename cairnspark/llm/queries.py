@@ -102,6 +102,7 @@ def op10_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
         *(count(k).alias(f"n_{name}") for k, name in enumerate(pii.KINDS)),
         F.sha2(pii.written(base), 256).alias("base_sha256"),
         pii.written(F.col("spans")).alias("spans"),
+        F.size("spans").cast("long").alias("n_spans"),
     )
 
 
