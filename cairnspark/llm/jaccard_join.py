@@ -4,18 +4,22 @@
    learn how many documents have each.  A shingle of one document can't
    contribute to a link, and a text with too many of those has none.
 2. Prefixes.  With shingles in order of frequency, two texts that link share one
-   among the first n - ceil(t n) + 1 of each, t being the least similarity; the rest of the product need
-   not be formed.
-3. Overlaps.  Equal sets are one node.  Within a shingle's list, nodes meet one
-   two pivots at first; what those link needs no further pairs.  Lists that still hold separate parts are multiplied out in
-   blocks of bounded size: overlap counts are accumulated over slices of the
-   shingles, and pairs outside the sizes' bound are discarded.
+   among the first n - ceil(t n) + 1 of each, t being the least similarity; the
+   first that they share bounds their overlap by its places in both.  The rest
+   of the product need not be formed.
+3. Product.  Equal sets are one node.  Blocks of bounded size hold rows of the
+   incidence matrix of nodes and shingles, as sorted indices, and some columns
+   of its transpose; overlap counts are accumulated over slices of the
+   shingles, and after each slice pairs that can't reach the bound of their
+   sizes are discarded.  Columns are, at first, two nodes of every shingle's list;
+   what these link needs no further pairs.  Lists that still hold separate parts
+   are then multiplied out, those outside a list's largest part with all.
 """
 
 from __future__ import annotations
 
 import struct
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -28,10 +32,12 @@ from .shared import buckets_for, kept, whole_texts
 #: Links: 100 * intersection >= LINK * union.
 LINK = 85
 WIDTH = 4
-#: Nodes on either side of a block of the last product.
-FEW, MANY = 128, 1024
-#: Shingles in a slice of the product.
-SLICE = 4096
+#: Shingles of the rows that a block of the product holds; columns that it takes at once.
+BLOCK_SHINGLES, COLUMNS = 1 << 20, 128
+#: Slices of the shingles, after each of which pairs are discarded.
+SLICES = 4
+#: Documents of a shingle for each part of its list, so that a shingle of very many is no hot key.
+LIST_PART = 1024
 _LOW = np.uint64(16)
 
 
@@ -65,6 +71,7 @@ class Shingles:
         at = np.flatnonzero(new)
         self.distinct = self.low[order][new]
         self.times = np.diff(np.append(at, len(order)))
+        self.mark = kernel.mark_of(self.distinct)
 
 
 def _frequencies(rows: DataFrame, buckets: int, width: int) -> tuple[DataFrame, DataFrame]:
@@ -76,7 +83,7 @@ def _frequencies(rows: DataFrame, buckets: int, width: int) -> tuple[DataFrame,
             s = Shingles(data, offsets, width)
             cut = np.concatenate([[0], np.searchsorted(s.distinct, edges), [len(s.distinct)]])
             full = np.flatnonzero(np.diff(cut))
-            payload = [exchange.pack(kernel.put_sorted(s.distinct[cut[k] : cut[k + 1]]), kernel.put_varints(s.times[cut[k] : cut[k + 1]])) for k in full]
+            payload = [exchange.pack(kernel.put_sorted(s.distinct[cut[k] : cut[k + 1]]), kernel.put_varints(s.times[cut[k] : cut[k + 1]]), s.mark) for k in full]
             yield pa.RecordBatch.from_arrays([pa.array(full.astype(np.int32)), pa.array(np.full(len(full), number)), pa.array(payload, pa.binary())], ["bucket", "block", "payload"])
 
     def count(key: tuple[pa.Scalar, ...], table: pa.Table) -> pa.Table:
@@ -90,9 +97,9 @@ def _frequencies(rows: DataFrame, buckets: int, width: int) -> tuple[DataFrame,
         total = np.empty(len(h), np.int64)
         total[order] = np.add.reduceat(times[order], np.flatnonzero(new))[np.cumsum(new) - 1]
         payload = []
-        for i, j in zip(cut[:-1], cut[1:], strict=True):
+        for i, j, (_, _, mark) in zip(cut[:-1], cut[1:], parts, strict=True):
             several = np.flatnonzero(total[i:j] > 1)
-            payload.append(struct.pack("<q", int(j - i)) + exchange.pack(kernel.put_varints(np.diff(several, prepend=0)), kernel.put_varints(total[i:j][several])))
+            payload.append(mark + struct.pack("<q", int(j - i)) + exchange.pack(kernel.put_varints(np.diff(several, prepend=0)), kernel.put_varints(total[i:j][several])))
         return pa.table({"bucket": pa.array(np.full(len(parts), key[0].as_py(), np.int32)), "block": table["block"], "payload": pa.array(payload, pa.binary())})
 
     def texts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -108,8 +115,10 @@ def _sets(rows: DataFrame, buckets: int, width: int, link: int) -> DataFrame:
     """(id, n, node, prefix, shared): every document, and for those that may link, their node and shingles.
 
     ``node`` stands for the set; ``prefix``: the shingles of the prefix that
-    others have too; ``shared``: all such shingles, packed.
+    others have too, with their documents and their places in the whole order;
+    ``shared``: all such shingles, packed.
     """
+    entry = pa.list_(pa.struct([("shingle", pa.int64()), ("df", pa.int64()), ("place", pa.int32())]))
 
     def finish(key: tuple[pa.Scalar, ...], table: pa.Table) -> pa.Table:
         bucket = table["bucket"].to_numpy()
@@ -119,12 +128,14 @@ def _sets(rows: DataFrame, buckets: int, width: int, link: int) -> DataFrame:
         s = Shingles(np.frombuffer(text, np.uint8), np.concatenate([[0], np.cumsum(np.frombuffer(size, "<i8"))]), width)
         times, at = np.ones(len(s.distinct), np.int64), 0
         for k in order[1:]:
-            (n,) = struct.unpack_from("<q", blobs[k])
-            places, found = exchange.unpack(blobs[k][8:])
+            (n,) = struct.unpack_from("<q", blobs[k], 8)
+            if blobs[k][:8] != s.mark:
+                raise RuntimeError("a block's shingles differ between two readings of the input; checkpoint the input first")
+            places, found = exchange.unpack(blobs[k][16:])
             times[at + np.cumsum(kernel.get_varints(places))] = kernel.get_varints(found)
             at += n
         if at != len(s.distinct):
-            raise RuntimeError("a block's shingles differ between two readings of the input; checkpoint the input first")
+            raise RuntimeError("answers to a block's shingles are missing")
         frequency = times[s.group]
         n = np.diff(s.bounds)
         several = np.concatenate([[0], np.cumsum(frequency > 1)])
@@ -142,16 +153,17 @@ def _sets(rows: DataFrame, buckets: int, width: int, link: int) -> DataFrame:
             rare = both[np.lexsort([low[both], f[both]])[: first[d]]]
             whole = kernel.mix(s.hash[i:j])
             node.append(int((np.add.reduce(whole) ^ kernel.mix(np.array([n[d]], np.uint64))[0]).astype(np.int64)))
-            prefix.append(low[rare].astype(np.int64).tolist())
+            alone = int(n[d] - held[d])  # shingles of no other document come first in the order
+            prefix.append([{"shingle": int(x), "df": int(y), "place": alone + k + 1} for k, (x, y) in enumerate(zip(low[rare], f[rare], strict=True))])
             shared.append(kernel.put_sorted(np.sort(low[both])))
         ids = table["ids"][int(order[0])].values
-        return pa.table({"id": ids, "n": n.astype(np.int64), "node": pa.array(node, pa.int64()), "prefix": pa.array(prefix, pa.list_(pa.int64())), "shared": pa.array(shared, pa.binary())})
+        return pa.table({"id": ids, "n": n.astype(np.int64), "node": pa.array(node, pa.int64()), "prefix": pa.array(prefix, entry), "shared": pa.array(shared, pa.binary())})
 
     answered, stored = _frequencies(rows, buckets, width)
-    return stored.unionByName(answered, allowMissingColumns=True).groupBy("block").applyInArrow(finish, "id long, n long, node long, prefix array<long>, shared binary")
+    return stored.unionByName(answered, allowMissingColumns=True).groupBy("block").applyInArrow(finish, "id long, n long, node long, prefix array<struct<shingle: long, df: long, place: int>>, shared binary")
 
 
-def _join(left: DataFrame, right: DataFrame, on: str, how: str = "inner") -> DataFrame:
+def _join(left: DataFrame, right: DataFrame, on: str | list[str], how: str = "inner") -> DataFrame:
     """A join whose sides may be as large as the corpus, and which is planned as such: the driver holds none of it."""
     return left.join(right.hint("merge"), on, how)
 
@@ -192,23 +204,106 @@ def components(edges: DataFrame) -> DataFrame:
     return total
 
 
-def _fits(x: str, y: str, link: int) -> Column:
-    """The sizes allow a link."""
-    return F.least(x, y) * 100 >= F.greatest(x, y) * link
+def _fits(n: str, m: str, place: str, other: str, link: int) -> Column:
+    """The sizes allow a link, and so do the places in both orders of the first shingle that both have."""
+    least = F.ceil((F.col(n) + F.col(m)) * link / (100 + link))
+    return (F.least(n, m) * 100 >= F.greatest(n, m) * link) & (F.least(F.col(n) - F.col(place), F.col(m) - F.col(other)) + 1 >= least)
 
 
-def _verified(pairs: DataFrame, nodes: DataFrame, link: int) -> DataFrame:
-    """The pairs (a, b) that link, by their whole sets."""
-    side = lambda c: nodes.select(F.col("node").alias(c), F.col("n").alias(f"n_{c}"), F.col("shared").alias(f"set_{c}"))
-    both = _join(_join(pairs, side("a"), "a"), side("b"), "b").select("a", "b", "n_a", "n_b", "set_a", "set_b")
+class Rows:
+    """Rows of the incidence matrix in order: the shingles of each as ascending numbers, and where the slices of each begin."""
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            n_a, n_b = batch.column(2).to_numpy(), batch.column(3).to_numpy()
-            both = np.array([len(np.intersect1d(kernel.get_sorted(x.as_py()), kernel.get_sorted(y.as_py()), assume_unique=True)) for x, y in zip(batch.column(4), batch.column(5), strict=True)], np.int64)
-            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1)], ["a", "b"]).filter(pa.array(100 * both >= link * (n_a + n_b - both)))
+    def __init__(self, sets: list[np.ndarray]):
+        self.size = np.array([len(x) for x in sets], np.int64)
+        self.hash = np.concatenate([*sets, np.zeros(0, np.uint64)])
+        self.first = np.concatenate([[0], np.cumsum(self.size)])
+        # Hashes are uniform, so slices of their space are slices of any set.
+        at = (self.hash >> np.uint64(46)).astype(np.int64) * SLICES >> 2
+        doc = np.repeat(np.arange(len(sets)), self.size)
+        self.cut = np.searchsorted(doc * SLICES + at, np.arange(len(sets) * SLICES + 1))
 
-    return both.mapInArrow(run, "a long, b long")
+    def numbered(self, distinct: np.ndarray) -> np.ndarray:
+        """Each shingle's place among distinct ones, or the number of those where it is none of them."""
+        at = np.searchsorted(distinct, self.hash)
+        return np.where(np.append(distinct, np.uint64(0))[at] == self.hash, at, len(distinct))
+
+
+def product(rows: Rows, n_rows: np.ndarray, columns: Rows, n_columns: np.ndarray, wanted: Callable[[int], np.ndarray], link: int) -> Iterator[tuple[int, np.ndarray]]:
+    """For each column the rows that link with it, among those that ``wanted`` names.
+
+    A column is spread over the block's distinct shingles; its products with all
+    wanted rows are sums of that over the rows' indices, slice by slice.
+    """
+    distinct = np.unique(columns.hash)
+    index = rows.numbered(distinct)
+    at = columns.numbered(distinct)
+    flag = np.zeros(len(distinct) + 1, np.int8)
+    for c in range(len(columns.size)):
+        left = wanted(c)
+        low, high = np.minimum(n_rows[left], n_columns[c]), np.maximum(n_rows[left], n_columns[c])
+        left = left[100 * low >= link * high]
+        if not len(left):
+            continue
+        own = at[columns.first[c] : columns.first[c + 1]]
+        flag[own] = 1
+        need = -(-link * (n_rows[left] + n_columns[c]) // (100 + link))
+        overlap = np.zeros(len(left), np.int64)
+        for k in range(SLICES):
+            i, j = rows.cut[left * SLICES + k], rows.cut[left * SLICES + k + 1]
+            size = j - i
+            bounds = np.concatenate([[0], np.cumsum(size)])
+            hit = np.concatenate([[0], np.cumsum(flag[index[np.repeat(i - bounds[:-1], size) + np.arange(bounds[-1])]], dtype=np.int64)])
+            overlap += hit[bounds[1:]] - hit[bounds[:-1]]
+            rest = np.minimum(rows.first[left + 1] - j, columns.first[c + 1] - columns.cut[c * SLICES + k + 1])
+            on = overlap + rest >= need
+            left, need, overlap = left[on], need[on], overlap[on]
+            if not len(left):
+                break
+        flag[own] = 0
+        if len(left):
+            yield c, left
+
+
+def _linked_pairs(found: Iterator[tuple[int, np.ndarray]], rows: np.ndarray, columns: np.ndarray) -> pa.Table:
+    a, b = [np.zeros(0, np.int64)], [np.zeros(0, np.int64)]
+    for c, r in found:
+        a.append(rows[r])
+        b.append(np.full(len(r), columns[c]))
+    return pa.table({"a": np.concatenate(a), "b": np.concatenate(b)})
+
+
+def _sets_of(table: pa.Table) -> Rows:
+    return Rows([kernel.get_sorted(b) for b in table["shared"].to_pylist()])
+
+
+def _against_pivots(pairs: DataFrame, nodes: DataFrame, link: int) -> DataFrame:
+    """The pairs (node, n, pivot, df) that link, as (a, b): a block is rows of a bounded number of shingles and their columns, the pivots."""
+    total = pairs.agg(F.sum("n")).first()[0] or 0
+    blocks = max(1, -(-int(total) // BLOCK_SHINGLES))
+    # A pivot of very many rows is a column of several parts; pivots of few rows share a block.
+    parts = F.ceil(F.col("df") * F.col("n") / BLOCK_SHINGLES).cast("int")
+    held = pairs.select(F.pmod(F.xxhash64("pivot"), F.lit(blocks)).cast("int").alias("block"), F.pmod(F.xxhash64("node"), parts).cast("int").alias("part"), "node", "pivot")
+    rows = _join(held.groupBy("block", "part", "node").agg(F.collect_list("pivot").alias("pivots")), nodes.select("node", "n", "shared"), "node")
+    columns = _join(held.select("block", "part", F.col("pivot").alias("node")).distinct(), nodes.select("node", "n", "shared"), "node")
+
+    def run(key: tuple[pa.Scalar, ...], table: pa.Table) -> pa.Table:
+        asked = table["pivots"].combine_chunks()
+        is_row = asked.is_valid().to_numpy(zero_copy_only=False)
+        rows, columns = table.filter(pa.array(is_row)), table.filter(pa.array(~is_row))
+        if not rows.num_rows or not columns.num_rows:
+            return pa.table({"a": pa.array([], pa.int64()), "b": pa.array([], pa.int64())})
+        lists = rows["pivots"].combine_chunks()
+        row = np.repeat(np.arange(rows.num_rows), lists.value_lengths().to_numpy())
+        column = lists.flatten().to_numpy()
+        order = np.argsort(column, kind="stable")
+        row, column = row[order], column[order]
+        names = columns["node"].to_numpy()
+        i, j = np.searchsorted(column, names, "left"), np.searchsorted(column, names, "right")
+        found = product(_sets_of(rows), rows["n"].to_numpy(), _sets_of(columns), columns["n"].to_numpy(), lambda c: row[i[c] : j[c]], link)
+        return _linked_pairs(found, rows["node"].to_numpy(), names)
+
+    both = rows.unionByName(columns, allowMissingColumns=True)
+    return both.groupBy("block", "part").applyInArrow(run, "a long, b long")
 
 
 def _parts(nodes: DataFrame, edges: DataFrame) -> DataFrame:
@@ -217,64 +312,54 @@ def _parts(nodes: DataFrame, edges: DataFrame) -> DataFrame:
     return kept(_join(nodes.select("node"), found.withColumnRenamed("id", "node"), "node", "left").select("node", F.coalesce("root", "node").alias("part")))
 
 
-def _product(table: pa.Table, link: int) -> pa.Table:
-    """Links between the few and the many of a block, by a product of their incidence matrices over slices of shingles."""
-    few = table["few"].to_numpy(zero_copy_only=False)
-    node, part, n = (table[c].to_numpy() for c in ("node", "part", "n"))
-    sets = [kernel.get_sorted(b) for b in table["shared"].to_pylist()]
-    sides = []
-    for want in (True, False):
-        rows = np.flatnonzero(few == want)
-        sizes = [len(sets[r]) for r in rows]
-        sides.append((rows, np.repeat(np.arange(len(rows)), sizes), np.concatenate([sets[r] for r in rows] or [np.zeros(0, np.uint64)])))
-    (r1, d1, h1), (r2, d2, h2) = sides
-    common = np.intersect1d(h1, h2)
-    overlap = np.zeros((len(r1), len(r2)), np.float32)
-    where = []
-    for d, h in ((d1, h1), (d2, h2)):
-        at = np.searchsorted(common, h)
-        ok = (at < len(common)) & (common[np.minimum(at, max(len(common) - 1, 0))] == h) if len(common) else np.zeros(len(h), bool)
-        order = np.argsort(at[ok], kind="stable")
-        where.append((d[ok][order], at[ok][order]))
-    for i in range(0, len(common), SLICE):
-        m = []
-        for (d, at), rows in zip(where, (r1, r2), strict=True):
-            a, b = np.searchsorted(at, [i, i + SLICE])
-            x = np.zeros((len(rows), min(SLICE, len(common) - i)), np.float32)
-            x[d[a:b], at[a:b] - i] = 1
-            m.append(x)
-        overlap += m[0] @ m[1].T
-    n1, n2 = n[r1][:, None], n[r2][None, :]
-    fits = (100 * np.minimum(n1, n2) >= link * np.maximum(n1, n2)) & (part[r1][:, None] != part[r2][None, :])
-    x, y = np.nonzero(fits & (100 * overlap.astype(np.int64) >= link * (n1 + n2 - overlap.astype(np.int64))))
-    return pa.table({"a": node[r1[x]], "b": node[r2[y]]})
-
-
 def _rest(nodes: DataFrame, lists: DataFrame, parts: DataFrame, link: int) -> DataFrame:
-    """Links (a, b) between parts that lists still hold apart, each list's members compared in full."""
-    held = _join(lists, parts, "node")
-    open_lists = held.groupBy("shingle").agg(F.min("part").alias("p"), F.max("part").alias("q")).where("p < q").select("shingle")
-    held = kept(_join(held, open_lists, "shingle"))
+    """Links (a, b) between parts that lists still hold apart: of every list, those outside its largest part against all whose sizes fit.
+
+    A list's nodes are dealt by size step; a step's nodes are columns against
+    the rows of its own step and of the next.  Lists are cut into blocks of
+    bounded rows and columns, short ones share a block.
+    """
+    held = _join(lists.drop("place", "df", "salts"), parts, "node")
+    counted = held.groupBy("shingle", "salt", "part").agg(F.count("*").alias("k")).groupBy("shingle", "part").agg(F.sum("k").alias("k"))
+    main = counted.groupBy("shingle").agg(F.max_by("part", F.struct("k", "part")).alias("main"), F.count("*").alias("parts")).where("parts > 1").select("shingle", "main")
+    salts = lists.select("shingle", "salt").distinct()
+    held = kept(_join(held, _join(salts, main, "shingle"), ["shingle", "salt"]))
     if held.isEmpty():
         return held.select(F.col("node").alias("a"), F.col("part").alias("b"))
-    # Members that fit in size are in the same step or in neighbouring ones: each joins its step's first, and that the next step's.
-    first = held.groupBy("shingle", "step").agg(F.min("node").alias("b"))
-    stars = held.join(first.hint("merge"), ["shingle", "step"]).select(F.col("node").alias("a"), "b")
-    above = first.select("shingle", (F.col("step") - 1).alias("step"), F.col("b").alias("a"))
-    cluster = components(stars.unionByName(first.join(above.hint("merge"), ["shingle", "step"]).select("a", "b")))
-    members = _join(held.select("node", "part").distinct(), cluster.withColumnRenamed("id", "node"), "node", "left").select("node", "part", F.coalesce("root", "node").alias("cluster"))
-    sizes = members.groupBy("cluster", "part").count()
-    largest = sizes.groupBy("cluster").agg(F.max_by("part", F.struct("count", "part")).alias("main"), F.count("*").alias("parts"), F.sum("count").alias("all"), F.max("count").alias("most"))
-    largest = largest.where("parts > 1").withColumn("i_all", F.ceil((F.col("all") - F.col("most")) / FEW).cast("int")).withColumn("j_all", F.ceil(F.col("all") / MANY).cast("int"))
-    members = kept(_join(_join(members, largest.select("cluster", "main", "i_all", "j_all"), "cluster"), nodes.select("node", "n", "shared"), "node"))
+    few = F.col("part") != F.col("main")
+    # A column of step s meets rows of s and s + 1; a row of the largest part that is smaller meets columns of the step above it.
+    as_row = held.select("shingle", "node", "part", "n", "salt", F.explode(F.array(F.col("step"), F.col("step") - 1, F.col("step") + 1)).alias("step"), F.lit(False).alias("few"))
+    as_column = held.where(few).select("shingle", "node", "part", "n", "salt", "step", F.lit(True).alias("few"))
+    every = as_row.unionByName(as_column)
+    size = every.groupBy("shingle", "step", "salt").agg(F.sum(F.when(~F.col("few"), F.col("n"))).alias("weight"), F.count_if("few").alias("columns")).groupBy("shingle", "step").agg(F.sum("weight").alias("weight"), F.sum("columns").alias("columns")).where("columns > 0")
+    cut = size.select("shingle", "step", F.ceil(F.col("weight") / BLOCK_SHINGLES).cast("int").alias("i_all"), F.ceil(F.col("columns") / COLUMNS).cast("int").alias("j_all"))
+    total = size.agg(F.sum("weight")).first()[0] or 0
+    blocks = max(1, -(-int(total) // BLOCK_SHINGLES))
+    every = _join(every, _join(cut, salts, "shingle"), ["shingle", "step", "salt"])
     place = F.xxhash64("node")
-    few = members.where("part <> main").select("cluster", F.pmod(place, "i_all").cast("int").alias("i"), F.explode(F.sequence(F.lit(0), F.col("j_all") - 1)).alias("j"), F.lit(True).alias("few"), "node", "part", "n", "shared")
-    many = members.select("cluster", F.explode(F.sequence(F.lit(0), F.col("i_all") - 1)).alias("i"), F.pmod(place, "j_all").cast("int").alias("j"), F.lit(False).alias("few"), "node", "part", "n", "shared")
+    other = lambda n: F.explode(F.sequence(F.lit(0), F.col(n) - 1))
+    rows = every.where(~F.col("few")).select("*", F.pmod(place, "i_all").cast("int").alias("i"), other("j_all").alias("j"))
+    columns = every.where("few").select("*", other("i_all").alias("i"), F.pmod(place, "j_all").cast("int").alias("j"))
+    group = F.pmod(F.xxhash64("shingle", "step"), F.lit(blocks)).cast("int")
+    placed = rows.unionByName(columns).select(group.alias("block"), "i", "j", F.xxhash64("shingle", "step").alias("list"), "few", "node", "part", "n")
+    full = _join(placed, nodes.select("node", "shared"), "node")
+
+    def run(key: tuple[pa.Scalar, ...], table: pa.Table) -> pa.Table:
+        few = table["few"].combine_chunks()
+        rows, columns = table.filter(pa.array(~few.to_numpy(zero_copy_only=False))).sort_by("list"), table.filter(few)
+        if not rows.num_rows or not columns.num_rows:
+            return pa.table({"a": pa.array([], pa.int64()), "b": pa.array([], pa.int64())})
+        part, own = rows["part"].to_numpy(), columns["part"].to_numpy()
+        name, asked = rows["list"].to_numpy(), columns["list"].to_numpy()
+        i, j = np.searchsorted(name, asked, "left"), np.searchsorted(name, asked, "right")
 
-    def product(key: tuple[pa.Scalar, ...], table: pa.Table) -> pa.Table:
-        return _product(table, link)
+        def wanted(c: int) -> np.ndarray:
+            return i[c] + np.flatnonzero(part[i[c] : j[c]] != own[c])
 
-    return few.unionByName(many).groupBy("cluster", "i", "j").applyInArrow(product, "a long, b long")
+        found = product(_sets_of(rows), rows["n"].to_numpy(), _sets_of(columns), columns["n"].to_numpy(), wanted, link)
+        return _linked_pairs(found, rows["node"].to_numpy(), columns["node"].to_numpy())
+
+    return full.groupBy("block", "i", "j").applyInArrow(run, "a long, b long")
 
 
 def linked(docs: DataFrame, *, width: int = WIDTH, link: int = LINK, id_col: str = "doc_id", text_col: str = "text", buckets: int | None = None) -> DataFrame:
@@ -293,20 +378,23 @@ def linked(docs: DataFrame, *, width: int = WIDTH, link: int = LINK, id_col: str
     sets = kept(_sets(rows, buckets, width, link))
     may = sets.where(F.col("node").isNotNull())
     nodes = kept(may.groupBy("node").agg(F.min("id").alias("first"), F.first("n").alias("n"), F.first("prefix").alias("prefix"), F.first("shared").alias("shared")))
-    # Lists of two nodes or more; sizes in steps of the link's ratio.
+    # Lists of two nodes or more; sizes in steps of the link's ratio; long lists in parts, the same for all nodes of a shingle.
     step = F.floor(F.log(F.col("n").cast("double")) / F.log(F.lit(100 / link))).cast("int")
-    entries = nodes.select("node", "n", step.alias("step"), F.explode("prefix").alias("shingle"))
-    several = entries.groupBy("shingle").count().where("count > 1").select("shingle")
-    lists = kept(_join(entries, several, "shingle"))
+    entries = nodes.select("node", "n", step.alias("step"), F.explode("prefix").alias("p")).select("node", "n", "step", "p.shingle", "p.place", "p.df", F.ceil(F.col("p.df") / LIST_PART).cast("int").alias("salts"))
+    entries = entries.withColumn("salt", F.pmod(F.xxhash64("node"), "salts").cast("int"))
+    several = entries.groupBy("shingle", "salts", "salt").count().where("salts > 1 or count > 1").select("shingle", "salt")
+    lists = kept(_join(entries, several, ["shingle", "salt"]))
 
     def against(keys: list[str], rank: Column) -> DataFrame:
-        pivots = lists.groupBy(*keys).agg(F.min_by(F.struct("node", "n"), rank).alias("pivot"))
-        met = lists.join(pivots.hint("merge"), keys).where((F.col("node") != F.col("pivot.node")) & _fits("n", "pivot.n", link))
-        return met.select(F.least("node", "pivot.node").alias("a"), F.greatest("node", "pivot.node").alias("b"))
-
-    # Two pivots: the first of each size step, the same one for all lists of a group; and another for each list.
-    pairs = against(["shingle", "step"], F.col("node")).unionByName(against(["shingle"], F.xxhash64("node", "shingle"))).distinct()
-    edges = kept(_verified(pairs, nodes, link))
+        first = lists.groupBy(*keys, "salts", "salt").agg(F.min(F.struct(rank.alias("rank"), "node", "n", "place")).alias("x")).groupBy(*keys, "salts").agg(F.min("x").alias("x"))
+        pivots = first.select(*keys, F.explode(F.sequence(F.lit(0), F.col("salts") - 1)).alias("salt"), F.col("x.node").alias("pivot"), F.col("x.n").alias("m"), F.col("x.place").alias("other"))
+        met = _join(lists, pivots, [*keys, "salt"]).where((F.col("node") != F.col("pivot")) & _fits("n", "m", "place", "other", link))
+        return met.select(F.least("node", "pivot").alias("a"), F.greatest("node", "pivot").alias("b"), F.struct("pivot", "node", "n").alias("x"), "df")
+
+    # Two pivots: the first of each size step and the last of each list, mostly the same ones for all lists of a group.
+    met = against(["shingle", "step"], F.col("node")).unionByName(against(["shingle"], -F.col("node").cast("decimal(20,0)")))
+    pairs = kept(met.groupBy("a", "b").agg(F.min("x").alias("x"), F.max("df").alias("df")).select("x.node", "x.n", "x.pivot", "df"))
+    edges = kept(_against_pivots(pairs, nodes, link))
     parts = _parts(nodes, edges)
     more = kept(_rest(nodes, lists, parts, link))
     if not more.isEmpty():

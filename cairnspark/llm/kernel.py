@@ -186,6 +186,11 @@ def first_of_equal(values: np.ndarray) -> np.ndarray:
     return out
 
 
+def mark_of(values: np.ndarray) -> bytes:
+    """A fingerprint of a list of uint64 values and their order, in eight bytes."""
+    return int(np.bitwise_xor.reduce(mix(values) * (np.arange(len(values)).astype(U64) + U64(1)), initial=0)).to_bytes(8, "little")
+
+
 def take_spans(data: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """Concatenates byte spans: (bytes, offsets)."""
     lengths = ends - starts
