@@ -11,9 +11,10 @@
    incidence matrix of nodes and shingles, as sorted indices, and some columns
    of its transpose; overlap counts are accumulated over slices of the
    shingles, and after each slice pairs that can't reach the bound of their
-   sizes are discarded.  Columns are, at first, two nodes of every shingle's list;
-   what these link needs no further pairs.  Lists that still hold separate parts
-   are then multiplied out, those outside a list's largest part with all.
+   sizes are discarded.  Columns are, at first, two nodes of every shingle's list,
+   then, of lists that still hold separate parts, three more.  Each has then been
+   compared with its whole list.  What is left of lists that even so hold separate
+   parts is multiplied out: of two nodes the smaller is a column.
 """
 
 from __future__ import annotations
@@ -23,7 +24,7 @@ from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from . import exchange, kernel
@@ -38,6 +39,8 @@ BLOCK_SHINGLES, COLUMNS = 1 << 20, 128
 SLICES = 4
 #: Documents of a shingle for each part of its list, so that a shingle of very many is no hot key.
 LIST_PART = 1024
+#: Columns of each list in the second round.
+MORE = 3
 _LOW = np.uint64(16)
 
 
@@ -312,52 +315,69 @@ def _parts(nodes: DataFrame, edges: DataFrame) -> DataFrame:
     return kept(_join(nodes.select("node"), found.withColumnRenamed("id", "node"), "node", "left").select("node", F.coalesce("root", "node").alias("part")))
 
 
-def _rest(nodes: DataFrame, lists: DataFrame, parts: DataFrame, link: int) -> DataFrame:
-    """Links (a, b) between parts that lists still hold apart: of every list, those outside its largest part against all whose sizes fit.
-
-    A list's nodes are dealt by size step; a step's nodes are columns against
-    the rows of its own step and of the next.  Lists are cut into blocks of
-    bounded rows and columns, short ones share a block.
-    """
-    held = _join(lists.drop("place", "df", "salts"), parts, "node")
+def _open(lists: DataFrame, parts: DataFrame) -> DataFrame:
+    """The entries of lists that hold several parts, with their node's part and their list's largest."""
+    held = _join(lists, parts, "node")
     counted = held.groupBy("shingle", "salt", "part").agg(F.count("*").alias("k")).groupBy("shingle", "part").agg(F.sum("k").alias("k"))
     main = counted.groupBy("shingle").agg(F.max_by("part", F.struct("k", "part")).alias("main"), F.count("*").alias("parts")).where("parts > 1").select("shingle", "main")
-    salts = lists.select("shingle", "salt").distinct()
-    held = kept(_join(held, _join(salts, main, "shingle"), ["shingle", "salt"]))
-    if held.isEmpty():
-        return held.select(F.col("node").alias("a"), F.col("part").alias("b"))
-    few = F.col("part") != F.col("main")
-    # A column of step s meets rows of s and s + 1; a row of the largest part that is smaller meets columns of the step above it.
-    as_row = held.select("shingle", "node", "part", "n", "salt", F.explode(F.array(F.col("step"), F.col("step") - 1, F.col("step") + 1)).alias("step"), F.lit(False).alias("few"))
-    as_column = held.where(few).select("shingle", "node", "part", "n", "salt", "step", F.lit(True).alias("few"))
-    every = as_row.unionByName(as_column)
-    size = every.groupBy("shingle", "step", "salt").agg(F.sum(F.when(~F.col("few"), F.col("n"))).alias("weight"), F.count_if("few").alias("columns")).groupBy("shingle", "step").agg(F.sum("weight").alias("weight"), F.sum("columns").alias("columns")).where("columns > 0")
-    cut = size.select("shingle", "step", F.ceil(F.col("weight") / BLOCK_SHINGLES).cast("int").alias("i_all"), F.ceil(F.col("columns") / COLUMNS).cast("int").alias("j_all"))
-    total = size.agg(F.sum("weight")).first()[0] or 0
-    blocks = max(1, -(-int(total) // BLOCK_SHINGLES))
-    every = _join(every, _join(cut, salts, "shingle"), ["shingle", "step", "salt"])
+    return _join(held, _join(lists.select("shingle", "salt").distinct(), main, "shingle"), ["shingle", "salt"])
+
+
+def _rest(nodes: DataFrame, held: DataFrame, link: int) -> DataFrame:
+    """Links (a, b) between the parts of open lists: every pair of a list's nodes of different parts whose sizes and places allow a link.
+
+    The smaller node is the column, dealt by size step; rows are nodes of the
+    same step and of the next.  Columns of a list's largest part meet only rows
+    of others.  Lists are cut into blocks of bounded rows and columns, short
+    ones share a block.
+    """
+    large = F.col("part") == F.col("main")
+    # The smaller of two nodes that link has the first shingle that they share so early.
+    short = F.col("n") - F.col("place") + 1 >= F.ceil(2 * link * F.col("n") / (100 + link))
+    kept_columns = ("shingle", "salt", "node", "part", "n", "place")
+    column = held.where(short).select(*kept_columns, "step", F.when(large, "main").otherwise("rest").alias("side"), F.lit(True).alias("few"))
+    row = held.select(*kept_columns, F.explode(F.array(F.col("step"), F.col("step") - 1)).alias("step"), F.explode(F.when(large, F.array(F.lit("rest"))).otherwise(F.array(F.lit("rest"), F.lit("main")))).alias("side"), F.lit(False).alias("few"))
+    every = row.unionByName(column)
+    keys = ["shingle", "step", "side"]
+    size = every.groupBy(*keys, "salt").agg(F.sum(F.when(~F.col("few"), F.col("n"))).alias("weight"), F.count_if("few").alias("columns")).groupBy(*keys).agg(F.sum("weight").alias("weight"), F.sum("columns").alias("columns")).where("columns > 0 and weight > 0")
+    cut = kept(size.select(*keys, "weight", F.ceil(F.col("weight") / BLOCK_SHINGLES).cast("int").alias("i_all"), F.ceil(F.col("columns") / COLUMNS).cast("int").alias("j_all")))
+    blocks = max(1, -(-int(cut.agg(F.sum("weight")).first()[0] or 0) // BLOCK_SHINGLES))
+    every = _join(every, _join(cut.drop("weight"), held.select("shingle", "salt").distinct(), "shingle"), [*keys, "salt"])
     place = F.xxhash64("node")
     other = lambda n: F.explode(F.sequence(F.lit(0), F.col(n) - 1))
     rows = every.where(~F.col("few")).select("*", F.pmod(place, "i_all").cast("int").alias("i"), other("j_all").alias("j"))
     columns = every.where("few").select("*", other("i_all").alias("i"), F.pmod(place, "j_all").cast("int").alias("j"))
-    group = F.pmod(F.xxhash64("shingle", "step"), F.lit(blocks)).cast("int")
-    placed = rows.unionByName(columns).select(group.alias("block"), "i", "j", F.xxhash64("shingle", "step").alias("list"), "few", "node", "part", "n")
-    full = _join(placed, nodes.select("node", "shared"), "node")
+    list_key = F.xxhash64(*keys)
+    placed = rows.unionByName(columns).select(F.pmod(list_key, F.lit(blocks)).cast("int").alias("block"), "i", "j", list_key.alias("list"), "few", "node", "part", "n", "place")
+    # A node's set is sent once to a block, whatever its lists there.
+    entry = F.collect_list(F.struct("list", "few", "place"))
+    full = _join(placed.groupBy("block", "i", "j", "node", "part", "n").agg(entry.alias("entries")), nodes.select("node", "shared"), "node")
 
     def run(key: tuple[pa.Scalar, ...], table: pa.Table) -> pa.Table:
-        few = table["few"].combine_chunks()
-        rows, columns = table.filter(pa.array(~few.to_numpy(zero_copy_only=False))).sort_by("list"), table.filter(few)
-        if not rows.num_rows or not columns.num_rows:
-            return pa.table({"a": pa.array([], pa.int64()), "b": pa.array([], pa.int64())})
-        part, own = rows["part"].to_numpy(), columns["part"].to_numpy()
-        name, asked = rows["list"].to_numpy(), columns["list"].to_numpy()
-        i, j = np.searchsorted(name, asked, "left"), np.searchsorted(name, asked, "right")
+        entries = table["entries"].combine_chunks()
+        of = np.repeat(np.arange(table.num_rows), entries.value_lengths().to_numpy())
+        flat = entries.flatten()
+        name, few, place = flat.field("list").to_numpy(), flat.field("few").to_numpy(zero_copy_only=False), flat.field("place").to_numpy()
+        node, part, n = (table[c].to_numpy() for c in ("node", "part", "n"))
+        sets = _sets_of(table)
+        r = np.flatnonzero(~few)
+        r = r[np.argsort(name[r], kind="stable")]
+        first, last = (np.searchsorted(name[r], name, side) for side in ("left", "right"))
+        asked = np.flatnonzero(few)
+        asked = asked[np.argsort(of[asked], kind="stable")]
+        begin = np.searchsorted(of[asked], np.arange(table.num_rows + 1))
 
         def wanted(c: int) -> np.ndarray:
-            return i[c] + np.flatnonzero(part[i[c] : j[c]] != own[c])
+            out = [np.zeros(0, np.int64)]
+            for e in asked[begin[c] : begin[c + 1]]:
+                met = r[first[e] : last[e]]
+                x = of[met]
+                need = -(-link * (n[x] + n[c]) // (100 + link))
+                larger = (n[x] > n[c]) | ((n[x] == n[c]) & (node[x] != node[c]))
+                out.append(x[larger & (part[x] != part[c]) & (np.minimum(n[x] - place[met], n[c] - place[e]) + 1 >= need)])
+            return np.unique(np.concatenate(out))
 
-        found = product(_sets_of(rows), rows["n"].to_numpy(), _sets_of(columns), columns["n"].to_numpy(), wanted, link)
-        return _linked_pairs(found, rows["node"].to_numpy(), columns["node"].to_numpy())
+        return _linked_pairs(product(sets, n, sets, n, wanted, link), node, node)
 
     return full.groupBy("block", "i", "j").applyInArrow(run, "a long, b long")
 
@@ -385,20 +405,44 @@ def linked(docs: DataFrame, *, width: int = WIDTH, link: int = LINK, id_col: str
     several = entries.groupBy("shingle", "salts", "salt").count().where("salts > 1 or count > 1").select("shingle", "salt")
     lists = kept(_join(entries, several, ["shingle", "salt"]))
 
-    def against(keys: list[str], rank: Column) -> DataFrame:
+    def met(held: DataFrame, pivots: DataFrame, keys: list[str]) -> DataFrame:
+        """Pairs of a list's nodes and the pivots (keys, salts, node, n, place) whose sizes and places allow a link; of other parts only, if pivots have their ``own``."""
+        own = [c for c in pivots.columns if c == "own"]
+        every = pivots.select(*keys, *own, F.explode(F.sequence(F.lit(0), F.col("salts") - 1)).alias("salt"), F.col("node").alias("pivot"), F.col("n").alias("m"), F.col("place").alias("other"))
+        found = _join(held, every, [*keys, "salt"]).where((F.col("node") != F.col("pivot")) & _fits("n", "m", "place", "other", link))
+        found = found.where("part <> own") if own else found
+        return found.select(F.least("node", "pivot").alias("a"), F.greatest("node", "pivot").alias("b"), F.struct("pivot", "node", "n").alias("x"), "df")
+
+    def best(keys: list[str], rank: Column) -> DataFrame:
         first = lists.groupBy(*keys, "salts", "salt").agg(F.min(F.struct(rank.alias("rank"), "node", "n", "place")).alias("x")).groupBy(*keys, "salts").agg(F.min("x").alias("x"))
-        pivots = first.select(*keys, F.explode(F.sequence(F.lit(0), F.col("salts") - 1)).alias("salt"), F.col("x.node").alias("pivot"), F.col("x.n").alias("m"), F.col("x.place").alias("other"))
-        met = _join(lists, pivots, [*keys, "salt"]).where((F.col("node") != F.col("pivot")) & _fits("n", "m", "place", "other", link))
-        return met.select(F.least("node", "pivot").alias("a"), F.greatest("node", "pivot").alias("b"), F.struct("pivot", "node", "n").alias("x"), "df")
-
-    # Two pivots: the first of each size step and the last of each list, mostly the same ones for all lists of a group.
-    met = against(["shingle", "step"], F.col("node")).unionByName(against(["shingle"], -F.col("node").cast("decimal(20,0)")))
-    pairs = kept(met.groupBy("a", "b").agg(F.min("x").alias("x"), F.max("df").alias("df")).select("x.node", "x.n", "x.pivot", "df"))
-    edges = kept(_against_pivots(pairs, nodes, link))
+        return first.select(*keys, "salts", "x.node", "x.n", "x.place")
+
+    def multiplied(found: DataFrame) -> DataFrame:
+        pairs = kept(found.groupBy("a", "b").agg(F.min("x").alias("x"), F.max("df").alias("df")).select("x.node", "x.n", "x.pivot", "df"))
+        return kept(_against_pivots(pairs, nodes, link))
+
+    # The first of each size step and the last of each list are mostly the same ones for all lists of a group.
+    last = kept(best(["shingle"], -F.col("node").cast("decimal(20,0)")))
+    edges = multiplied(met(lists, best(["shingle", "step"], F.col("node")), ["shingle", "step"]).unionByName(met(lists, last, ["shingle"])))
     parts = _parts(nodes, edges)
-    more = kept(_rest(nodes, lists, parts, link))
-    if not more.isEmpty():
-        parts = _parts(nodes, edges.unionByName(more))
+
+    def without(held: DataFrame, pivots: DataFrame) -> DataFrame:
+        """Lists less the nodes that have been compared with all of them."""
+        return held.join(pivots.select("shingle", "node").hint("merge"), ["shingle", "node"], "left_anti")
+
+    held = kept(_open(without(lists, last), parts))
+    if not held.isEmpty():
+        place = lambda *keys: F.row_number().over(Window.partitionBy(*keys).orderBy(F.desc("node")))
+        few = held.withColumn("_k", place("shingle", "salt")).where(F.col("_k") <= MORE).withColumn("_k", place("shingle")).where(F.col("_k") <= MORE)
+        few = kept(few.select("shingle", "salts", "node", "n", "place", F.col("part").alias("own")))
+        more = multiplied(met(held, few, ["shingle"]))
+        if not more.isEmpty():
+            edges = edges.unionByName(more)
+            parts = _parts(nodes, edges)
+        held = kept(_open(without(held.drop("part", "main"), few), parts))
+        more = kept(_rest(nodes, held, link)) if not held.isEmpty() else held.limit(0)
+        if not more.isEmpty():
+            parts = _parts(nodes, edges.unionByName(more))
     smallest = _join(nodes.select("node", "first"), parts, "node").groupBy("part").agg(F.min("first").alias("component"))
     named = _join(parts, smallest, "part").select("node", "component")
     return _join(sets.select("id", "n", "node"), named, "node", "left").select(F.col("id").alias(id_col), F.col("n").alias("n_shingles"), F.when(F.col("node").isNull(), F.col("id")).otherwise(F.col("component")).alias("component_id"))
