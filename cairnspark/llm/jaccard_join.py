@@ -11,10 +11,11 @@
    incidence matrix of nodes and shingles, as sorted indices, and some columns
    of its transpose; overlap counts are accumulated over slices of the
    shingles, and after each slice pairs that can't reach the bound of their
-   sizes are discarded.  Columns are, at first, two nodes of every shingle's list,
-   then, of lists that still hold separate parts, three more.  Each has then been
-   compared with its whole list.  What is left of lists that even so hold separate
-   parts is multiplied out: of two nodes the smaller is a column.
+   sizes are discarded.  Columns are, at first, one node of every shingle's list,
+   mostly the same for all lists of a group; then, of lists that still hold
+   separate parts, three more, others for each list.  Each has then been compared
+   with its whole list.  What is left of lists that even so hold separate parts is
+   multiplied out: of two nodes the smaller is a column.
 """
 
 from __future__ import annotations
@@ -367,6 +368,8 @@ def _rest(nodes: DataFrame, held: DataFrame, link: int) -> DataFrame:
         asked = asked[np.argsort(of[asked], kind="stable")]
         begin = np.searchsorted(of[asked], np.arange(table.num_rows + 1))
 
+        joined = np.unique(part, return_inverse=True)[1]
+
         def wanted(c: int) -> np.ndarray:
             out = [np.zeros(0, np.int64)]
             for e in asked[begin[c] : begin[c + 1]]:
@@ -374,10 +377,17 @@ def _rest(nodes: DataFrame, held: DataFrame, link: int) -> DataFrame:
                 x = of[met]
                 need = -(-link * (n[x] + n[c]) // (100 + link))
                 larger = (n[x] > n[c]) | ((n[x] == n[c]) & (node[x] != node[c]))
-                out.append(x[larger & (part[x] != part[c]) & (np.minimum(n[x] - place[met], n[c] - place[e]) + 1 >= need)])
+                out.append(x[larger & (joined[x] != joined[c]) & (np.minimum(n[x] - place[met], n[c] - place[e]) + 1 >= need)])
             return np.unique(np.concatenate(out))
 
-        return _linked_pairs(product(sets, n, sets, n, wanted, link), node, node)
+        def forest() -> Iterator[tuple[int, np.ndarray]]:
+            """One link for each part that a column joins to its own; the next columns don't look for links within it."""
+            for c, left in product(sets, n, sets, n, wanted, link):
+                parts, first = np.unique(joined[left], return_index=True)
+                joined[np.isin(joined, parts)] = joined[c]
+                yield c, left[first]
+
+        return _linked_pairs(forest(), node, node)
 
     return full.groupBy("block", "i", "j").applyInArrow(run, "a long, b long")
 
@@ -405,37 +415,35 @@ def linked(docs: DataFrame, *, width: int = WIDTH, link: int = LINK, id_col: str
     several = entries.groupBy("shingle", "salts", "salt").count().where("salts > 1 or count > 1").select("shingle", "salt")
     lists = kept(_join(entries, several, ["shingle", "salt"]))
 
-    def met(held: DataFrame, pivots: DataFrame, keys: list[str]) -> DataFrame:
-        """Pairs of a list's nodes and the pivots (keys, salts, node, n, place) whose sizes and places allow a link; of other parts only, if pivots have their ``own``."""
+    def met(held: DataFrame, pivots: DataFrame) -> DataFrame:
+        """Pairs of a list's nodes and the pivots (shingle, salts, node, n, place) whose sizes and places allow a link; of other parts only, if pivots have their ``own``."""
         own = [c for c in pivots.columns if c == "own"]
-        every = pivots.select(*keys, *own, F.explode(F.sequence(F.lit(0), F.col("salts") - 1)).alias("salt"), F.col("node").alias("pivot"), F.col("n").alias("m"), F.col("place").alias("other"))
-        found = _join(held, every, [*keys, "salt"]).where((F.col("node") != F.col("pivot")) & _fits("n", "m", "place", "other", link))
+        every = pivots.select("shingle", *own, F.explode(F.sequence(F.lit(0), F.col("salts") - 1)).alias("salt"), F.col("node").alias("pivot"), F.col("n").alias("m"), F.col("place").alias("other"))
+        found = _join(held, every, ["shingle", "salt"]).where((F.col("node") != F.col("pivot")) & _fits("n", "m", "place", "other", link))
         found = found.where("part <> own") if own else found
         return found.select(F.least("node", "pivot").alias("a"), F.greatest("node", "pivot").alias("b"), F.struct("pivot", "node", "n").alias("x"), "df")
 
-    def best(keys: list[str], rank: Column) -> DataFrame:
-        first = lists.groupBy(*keys, "salts", "salt").agg(F.min(F.struct(rank.alias("rank"), "node", "n", "place")).alias("x")).groupBy(*keys, "salts").agg(F.min("x").alias("x"))
-        return first.select(*keys, "salts", "x.node", "x.n", "x.place")
+    def best() -> DataFrame:
+        least = lists.groupBy("shingle", "salts", "salt").agg(F.min(F.struct("node", "n", "place")).alias("x")).groupBy("shingle", "salts").agg(F.min("x").alias("x"))
+        return least.select("shingle", "salts", "x.node", "x.n", "x.place")
 
     def multiplied(found: DataFrame) -> DataFrame:
         pairs = kept(found.groupBy("a", "b").agg(F.min("x").alias("x"), F.max("df").alias("df")).select("x.node", "x.n", "x.pivot", "df"))
         return kept(_against_pivots(pairs, nodes, link))
 
-    # The first of each size step and the last of each list are mostly the same ones for all lists of a group.
-    last = kept(best(["shingle"], -F.col("node").cast("decimal(20,0)")))
-    edges = multiplied(met(lists, best(["shingle", "step"], F.col("node")), ["shingle", "step"]).unionByName(met(lists, last, ["shingle"])))
-    parts = _parts(nodes, edges)
-
     def without(held: DataFrame, pivots: DataFrame) -> DataFrame:
         """Lists less the nodes that have been compared with all of them."""
         return held.join(pivots.select("shingle", "node").hint("merge"), ["shingle", "node"], "left_anti")
 
-    held = kept(_open(without(lists, last), parts))
+    first = kept(best())
+    edges = multiplied(met(lists, first))
+    parts = _parts(nodes, edges)
+    held = kept(_open(without(lists, first), parts))
     if not held.isEmpty():
-        place = lambda *keys: F.row_number().over(Window.partitionBy(*keys).orderBy(F.desc("node")))
+        place = lambda *keys: F.row_number().over(Window.partitionBy(*keys).orderBy(F.xxhash64("node", "shingle"), "node"))
         few = held.withColumn("_k", place("shingle", "salt")).where(F.col("_k") <= MORE).withColumn("_k", place("shingle")).where(F.col("_k") <= MORE)
         few = kept(few.select("shingle", "salts", "node", "n", "place", F.col("part").alias("own")))
-        more = multiplied(met(held, few, ["shingle"]))
+        more = multiplied(met(held, few))
         if not more.isEmpty():
             edges = edges.unionByName(more)
             parts = _parts(nodes, edges)
