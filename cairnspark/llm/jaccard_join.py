@@ -40,6 +40,8 @@ BLOCK_SHINGLES, COLUMNS = 1 << 20, 128
 SLICES = 4
 #: Documents of a shingle for each part of its list, so that a shingle of very many is no hot key.
 LIST_PART = 1024
+#: Shares of a part's nodes, each of which is told the part's smallest id by itself.
+SHARES = 16
 #: Columns of each list in the second round.
 MORE = 3
 _LOW = np.uint64(16)
@@ -451,6 +453,9 @@ def linked(docs: DataFrame, *, width: int = WIDTH, link: int = LINK, id_col: str
         more = kept(_rest(nodes, held, link)) if not held.isEmpty() else held.limit(0)
         if not more.isEmpty():
             parts = _parts(nodes, edges.unionByName(more))
-    smallest = _join(nodes.select("node", "first"), parts, "node").groupBy("part").agg(F.min("first").alias("component"))
-    named = _join(parts, smallest, "part").select("node", "component")
+    # A part of very many nodes is no hot key: its smallest id goes to each of its shares.
+    sized = _join(nodes.select("node", "first"), parts, "node").withColumn("share", F.pmod(F.xxhash64("node"), F.lit(SHARES)).cast("int"))
+    smallest = sized.groupBy("part", "share").agg(F.min("first").alias("first"), F.count("*").alias("k")).groupBy("part").agg(F.min("first").alias("component"), F.sum("k").alias("k")).where("k > 1")
+    shares = smallest.select("part", "component", F.explode(F.sequence(F.lit(0), F.lit(SHARES - 1))).alias("share"))
+    named = _join(sized, shares, ["part", "share"], "left").select("node", F.coalesce("component", "first").alias("component"))
     return _join(sets.select("id", "n", "node"), named, "node", "left").select(F.col("id").alias(id_col), F.col("n").alias("n_shingles"), F.when(F.col("node").isNull(), F.col("id")).otherwise(F.col("component")).alias("component_id"))
