@@ -86,3 +86,16 @@ def test_copies_go_by_row(spark, folder):
     left = [tuple(r) for r in corpus_pipeline.keep_one_of_each(spark, docs, folder).collect()]
     same = lambda r: (r[0], "c" if (r[1] or "").startswith(c) else r[1])
     assert sorted(map(same, left), key=repr) == sorted(map(same, kept), key=repr)
+
+
+def test_clashing_columns_and_long_texts(spark, folder):
+    text = " ".join(f"long{k % 3000}" for k in range(40_000))
+    rows = [(i, t, 1, 2, "k", i) for i, t in enumerate([text, text + " one more", "mail me@site.org now and then", "", None])]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, _quality int, _spans int, _key string, component_id long")
+    for name, stage in corpus_pipeline.STAGES[1:-1]:
+        columns = docs.columns
+        docs = stage(spark, docs, folder)
+        assert docs.columns == columns, name
+    got = {r.doc_id: r for r in docs.collect()}
+    assert set(got) == {0, 2, 3, 4} and got[2].text == "mail <EMAIL> now and then" and got[4].text is None
+    assert corpus_pipeline.keep_good(spark, docs, folder).columns == docs.columns
