@@ -20,6 +20,7 @@ OBJECT_HEADER, FILE_RECORD, REFERENCE, INDEX = 8 + 32 + 1 + 4 + 8, 8 + 32 + 4, 4
 #: Limits on what is decoded; fixed values.
 MOST_OBJECTS, MOST_REFERENCES, MOST_OBJECT_BYTES, MOST_KEY = 1_000_000, 10_000_000, 64 << 20, 1024
 ARMS = ("P", "A1", "A2", "C1")
+exponent_form = X.exponent_form
 
 
 def pieces(objects: DataFrame, arm: str, size: int) -> DataFrame:
@@ -81,17 +82,15 @@ def recovered_stream(objects: DataFrame, stripe: int = X.MIB, lost: tuple[int, .
             yield pd.DataFrame(out, columns=["ord", "begin", "part"])
 
     back = whole.mapInPandas(run, "ord long, begin long, part binary").groupBy("ord").agg(F.array_sort(F.collect_list(F.struct("begin", "part"))).alias("parts"))
-    return back.select("ord", F.aggregate("parts", F.lit(b""), lambda a, p: F.concat(a, p["part"])).alias("bytes"))
+    whole = back.select("ord", X.joined(F.col("parts.part")).alias("bytes"))
+    # An empty object reaches into no stripe.
+    return objects.select("ord").join(whole, "ord", "left").select("ord", F.coalesce("bytes", F.lit(b"")).alias("bytes"))
 
 
 def framed(objects: DataFrame) -> DataFrame:
     """(frame): each object after its length in eight little-endian bytes."""
-
-    @F.pandas_udf("binary")
-    def run(column: pd.Series) -> pd.Series:
-        return column.map(lambda d: struct.pack("<Q", len(d)) + d)
-
-    return objects.select("ord", run("bytes").alias("frame"))
+    size = F.unhex(F.lpad(F.hex(F.octet_length("bytes").cast("long")), 16, "0"))
+    return objects.select("ord", F.concat(*(F.substring(size, k, 1) for k in range(8, 0, -1)), "bytes").alias("frame"))
 
 
 def unframed(streams: DataFrame, column: str = "stream") -> DataFrame:
@@ -119,22 +118,23 @@ def within_limits(ledger: DataFrame) -> DataFrame:
     return ledger.select(F.explode(F.array_compact(F.array(*(F.when(c, n) for c, n in checks)))).alias("problem"))
 
 
-def resolved(choices: DataFrame, most: int = 16) -> DataFrame:
+def resolved(choices: DataFrame) -> DataFrame:
     """(ord, bytes) from (ord, base, payload): a null base is the file itself, else a patch on it; a base may be a patch too.
 
     One join a level, written before the next: files whose base was restored last
-    are restored, until none is left.  Bases are earlier files, so levels end; ``most`` bounds them.
+    are restored, until none is left.  Levels that restore nothing while files
+    are left mean a missing base or a ring, which is an error.
     """
     fresh = written(choices.where("base is null").select("ord", F.col("payload").alias("bytes")))
     done, left = fresh, written(choices.where("base is not null"))
-    for _ in range(most):
-        if left.isEmpty():
-            return done
+    while not left.isEmpty():
         ready = left.join(fresh.select(F.col("ord").alias("base"), F.col("bytes").alias("base_bytes")), "base")
         fresh = written(ready.select("ord", similarity.unpatch("base_bytes", "payload").alias("bytes")))
+        if fresh.isEmpty():
+            raise ValueError("patches whose base is missing, or that lean on one another")
         done = done.unionByName(fresh)
         left = written(left.join(fresh.select("ord"), "ord", "left_anti"))
-    raise ValueError("a chain of patches is longer than allowed")
+    return done
 
 
 def entropies(data: str) -> Column:
@@ -154,12 +154,6 @@ def entropies(data: str) -> Column:
     return run(data)
 
 
-def exponent_form(x: float, digits: int = 12) -> str:
-    """A number with so many decimals and an exponent without padding."""
-    mantissa, _, exponent = f"{x:.{digits}e}".partition("e")
-    return f"{mantissa}e{int(exponent)}"
-
-
 def corpora(spark: SparkSession, size: int = 16_384) -> DataFrame:
     """(ord, name, bytes): seeded random bytes, log lines, a repeated block, and a random head with a tail of zeros."""
     rng = np.random.default_rng(7)

@@ -52,9 +52,11 @@ def first_of_family(objects: DataFrame, family: str = "family", mark: str = "sha
 def newest_by_anchor(anchored: DataFrame, each: int = 8, most: int = 8) -> DataFrame:
     """(ord, base, place) of (ord, anchors): for every anchor the newest earlier files with it, distinct, in the anchors' order."""
     rows = anchored.select("ord", F.posexplode("anchors").alias("slot", "anchor"))
-    held = rows.select(F.col("ord").alias("base"), "anchor").distinct()
-    met = rows.join(held, "anchor").where(F.col("base") < F.col("ord"))
-    newest = met.withColumn("n", F.row_number().over(Window.partitionBy("ord", "slot").orderBy(F.desc("base")))).where(F.col("n") <= each)
+    by = Window.partitionBy("anchor").orderBy("ord")
+    # The files before one in its anchor's order, the newest first: as many rows as files, whatever they share.
+    before = F.array_compact(F.array(*(F.lag("ord", k).over(by) for k in range(1, each + 1))))
+    held = rows.select("ord", "anchor").distinct().withColumn("before", before)
+    newest = rows.join(held, ["ord", "anchor"]).select("ord", "slot", F.posexplode("before").alias("n", "base"))
     distinct = newest.groupBy("ord", "base").agg(F.min(F.struct("slot", "n")).alias("at"))
     return distinct.withColumn("place", F.row_number().over(Window.partitionBy("ord").orderBy("at"))).where(F.col("place") <= most).select("ord", "base", "place")
 

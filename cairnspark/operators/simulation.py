@@ -9,6 +9,9 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ..functions.expressions import exponent_text
+from ..session import written
+
 #: Three zones of six nodes; fixed values.
 ZONES, PER_ZONE = 3, 6
 NODES = ZONES * PER_ZONE
@@ -127,25 +130,44 @@ def reconcile(parked: DataFrame, present: DataFrame, key: tuple[str, ...] = ("id
     return both.select(*key, state.alias("state"))
 
 
-def churn(placements: DataFrame, rounds: int, seed: int = 1) -> DataFrame:
-    """(round, failed, degraded, unrecoverable): one or two seeded nodes fail in each round, and all is repaired before the next.
+#: The seed of the churn's draws; a fixed value.
+CHURN_SEED = 0x6D1D2E3F40516273
 
-    The loop is over rounds, at most 32; each is one plan over the masks.
-    """
+
+def churn_draws(rounds: int, seed: int = CHURN_SEED) -> list[tuple[int, int, int, int]]:
+    """(round, increment, tick, down_mask): one or two distinct nodes fail in each round, one to five ticks apart."""
     if not 1 <= rounds <= 32:
         raise ValueError("from 1 to 32 rounds")
-    held, state, out = masks(placements), np.array([seed], _U), []
-    for k in range(rounds):
+    state, tick, out = np.array([seed], _U), 0, []
+
+    def draw(below: int) -> int:
+        nonlocal state
         state = xorshift(state)
-        nodes = {int(state[0] % _U(NODES))}
-        if state[0] >> _U(40) & _U(1):
-            state = xorshift(state)
-            nodes.add(int(state[0] % _U(NODES)))
-        out.append((k, sum(1 << n for n in nodes)))
-    failures = placements.sparkSession.createDataFrame(out, "round int, failed long")
-    missing = F.bit_count(F.col("mask").bitwiseAND(F.col("failed")))
-    met = F.broadcast(failures).join(held, missing > 0, "left")
-    return met.groupBy("round", "failed").agg(F.coalesce(F.sum("n"), F.lit(0)).cast("long").alias("degraded"), F.coalesce(F.sum(F.when(missing > 2, F.col("n"))), F.lit(0)).cast("long").alias("unrecoverable"))
+        return int(state[0] % _U(below))
+
+    for k in range(1, rounds + 1):
+        down = 0
+        for increment in range(1, 2 + draw(2)):
+            tick += 1 + draw(5)
+            while down >> (node := draw(NODES)) & 1:
+                pass
+            down |= 1 << node
+            out.append((k, increment, tick, down))
+    return out
+
+
+def churn(placements: DataFrame, rounds: int, seed: int = CHURN_SEED, owners: int = 64) -> DataFrame:
+    """(round, increment, tick, down_mask, degraded, affected_owners, unrecoverable) after each seeded failure; all is repaired before the next round.
+
+    Draws are at most 64 rows; ids are counted by their node masks and owners first.
+    """
+    failures = placements.sparkSession.createDataFrame(churn_draws(rounds, seed), "round int, increment int, tick int, down_mask long")
+    one = placements.groupBy("id").agg(F.bit_or(F.expr("shiftleft(1L, node)")).alias("mask"))
+    held = one.groupBy("mask", (F.col("id") % owners).alias("owner")).agg(F.count("*").alias("n"))
+    missing = F.bit_count(F.col("mask").bitwiseAND(F.col("down_mask")))
+    met = held.join(F.broadcast(failures), missing > 0, "right")
+    total = lambda c: F.coalesce(F.sum(F.when(c, F.col("n"))), F.lit(0)).cast("long")
+    return met.groupBy("round", "increment", "tick", "down_mask").agg(total(missing > 0).alias("degraded"), F.count_distinct("owner").alias("affected_owners"), total(missing > 2).alias("unrecoverable"))
 
 
 def scripts(ids: DataFrame, size: int) -> DataFrame:
@@ -201,18 +223,20 @@ def links(spark: SparkSession, rows: list[tuple] | None = None) -> DataFrame:
     return both.groupBy("a", "b").agg(F.max_by(F.struct("cost", "mib_s"), "seq").alias("x")).select("a", "b", "x.cost", "x.mib_s")
 
 
-def shortest_paths(edges: DataFrame, source: str, most_hops: int = 8) -> DataFrame:
+def shortest_paths(edges: DataFrame, source: str) -> DataFrame:
     """(node, cost, path): the cheapest path from a source to every node; ties to the least path as text.
 
-    Each round relaxes all nodes at once; a node keeps one path, so rounds
-    don't multiply; ``most_hops`` bounds the links of a path.
+    Each round relaxes all nodes at once and is written; a node keeps one path,
+    so rounds don't multiply.  Costs are positive, so rounds end, after the
+    longest of the cheapest paths, when none gets better.
     """
-    spark = edges.sparkSession
-    best = spark.createDataFrame([(source, 0, source)], "node string, cost long, path string")
-    for _ in range(most_hops):
+    best = edges.sparkSession.createDataFrame([(source, 0, source)], "node string, cost long, path string")
+    while True:
         step = best.join(edges.select("a", "b", F.col("cost").alias("more")), F.col("node") == F.col("a")).select(F.col("b").alias("node"), (F.col("cost") + F.col("more")).alias("cost"), F.concat("path", F.lit(">"), "b").alias("path"))
-        best = best.unionByName(step).groupBy("node").agg(F.min(F.struct("cost", "path")).alias("x")).select("node", "x.cost", "x.path")
-    return best
+        again = written(best.unionByName(step).groupBy("node").agg(F.min(F.struct("cost", "path")).alias("x")).select("node", "x.cost", "x.path"))
+        if again.join(best, ["node", "cost", "path"], "left_anti").isEmpty():
+            return again
+        best = again
 
 
 def routed(routes: DataFrame, edges: DataFrame) -> DataFrame:
@@ -245,8 +269,8 @@ def canonical(terms: DataFrame, places: int = 9) -> DataFrame:
     same = terms.groupBy("entity_id").agg(F.count_distinct(F.size("exponents")).alias("sizes"))
     checked = terms.join(same, "entity_id").withColumn("exponents", F.when(F.col("sizes") == 1, F.col("exponents")).otherwise(F.raise_error(F.lit("terms of mixed dimensions"))))
     summed = checked.groupBy("entity_id", "exponents").agg(F.sum("coefficient").alias("coefficient")).where(F.abs("coefficient") >= 10.0**-places)
-    form = F.concat_ws("*", F.format_string("%.12e", "coefficient"), F.array_join(F.col("exponents").cast("array<string>"), ","))
+    form = F.concat(F.lit("coeff:"), exponent_text(F.col("coefficient")), F.lit("|exp:["), F.array_join(F.col("exponents").cast("array<string>"), ", "), F.lit("]"))
     listed = summed.groupBy("entity_id").agg(F.array_sort(F.collect_list(F.struct("exponents", form.alias("form")))).alias("terms"))
     joined = terms.select("entity_id").distinct().join(listed, "entity_id", "left")
-    text = F.coalesce(F.array_join("terms.form", "+"), F.lit(""))
+    text = F.coalesce(F.array_join("terms.form", ";"), F.lit(""))
     return joined.select("entity_id", F.coalesce(F.size("terms"), F.lit(0)).alias("n_terms"), F.sha2(text, 256).alias("key"))

@@ -12,7 +12,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions import field
-from ..functions.expressions import MIB, ranged
+from ..functions.expressions import MIB, joined, ranged
 
 #: The gate's settings; fixed values.
 THRESHOLD, SAMPLE, LAGS, FRACTION, LEAST_PAIRS = 6.4, 8192, (1, 2, 4, 8, 16, 32, 64, 128, 256, 512, 1024, 2048, 4096, 6144, 7168, 7680), 0.05, 512
@@ -61,7 +61,7 @@ def rebuilt(references: DataFrame, stored: DataFrame, owner: str, position: str,
     """(owner, bytes): every object joined from its references in order."""
     parts = references.select(owner, position, key).join(stored.select(key, chunk), key)
     ordered = F.array_sort(F.collect_list(F.struct(position, chunk)))
-    return parts.groupBy(owner).agg(ordered.alias("parts")).select(owner, F.aggregate(F.col("parts"), F.lit(b""), lambda a, p: F.concat(a, p[chunk])).alias("bytes"))
+    return parts.groupBy(owner).agg(ordered.alias("parts")).select(owner, joined(F.col(f"parts.{chunk}")).alias("bytes"))
 
 
 def _histogram(data: bytes) -> np.ndarray:

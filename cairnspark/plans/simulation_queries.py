@@ -10,6 +10,7 @@ from ..operators import simulation as P
 from ..operators import storage as S
 from ..sources import objects as O
 from .catalogue import query
+from .drawing_queries import _exponent
 
 _PLACED = "p AS (SELECT doc_id AS id, s AS share_no, (s // 2 + doc_id % 3) % 3 AS zone, ((s // 2 + doc_id % 3) % 3) * 6 + (doc_id * 7 + s % 2 * (1 + doc_id % 5)) % 6 AS node FROM documents, range(0, 6) t(s))"
 _MASKS = "k AS (SELECT id, bit_or(1 << node) AS mask FROM p GROUP BY id)"
@@ -60,26 +61,41 @@ def repair_accounting(spark: SparkSession, sf_dir: str) -> DataFrame:
     return plan.agg(F.count("*").alias("n_repairs"), F.coalesce(F.sum("read_bytes"), F.lit(0)).cast("long").alias("read_bytes"), F.coalesce(F.sum("written_bytes"), F.lit(0)).cast("long").alias("written_bytes"), F.count_if(~F.col("possible")).alias("n_lost"))
 
 
-@query("SELECT doc_id AS id, 6 AS n_nodes, 2 AS most_in_zone, 2 AS least_in_zone FROM documents")
+_WORD = 1 << 64
+
+
+def _seeded(shares: int) -> str:
+    """SQL of the seeded placement: the finaliser over wide integers, the first two nodes of a zone, and a third for share 6."""
+    step = lambda x, k, m: f"(xor({x}, {x} >> {k}) * CAST('{m}' AS UHUGEINT)) % CAST('{_WORD}' AS UHUGEINT)"
+    wide = lambda c, m: f"(CAST({c} AS UHUGEINT) * CAST('{m}' AS UHUGEINT)) % CAST('{_WORD}' AS UHUGEINT)"
+    return (
+        f"s AS (SELECT doc_id AS id, s AS share_no, ((CASE WHEN s < 6 THEN s // 2 ELSE 0 END) + doc_id % 3) % 3 AS zone FROM documents, range(0, {shares}) t(s)),"
+        f" x0 AS (SELECT *, xor(xor({wide('id', P.GOLDEN)}, {wide('zone', P.MIX_A)}), CAST('{P.SEED}' AS UHUGEINT)) AS x FROM s),"
+        f" x1 AS (SELECT id, share_no, zone, {step('x', 30, P.MIX_A)} AS x FROM x0), x2 AS (SELECT id, share_no, zone, {step('x', 27, P.MIX_B)} AS x FROM x1), x3 AS (SELECT id, share_no, zone, xor(x, x >> 31) AS x FROM x2),"
+        " x4 AS (SELECT *, CAST(x % 6 AS INTEGER) AS a, CAST((x >> 32) % 5 AS INTEGER) AS b0, CAST((x >> 48) % 4 AS INTEGER) AS c FROM x3), x5 AS (SELECT *, b0 + CAST(b0 >= a AS INTEGER) AS b FROM x4)"
+        " SELECT id, CAST(share_no AS INTEGER) AS share_no, CAST(zone AS INTEGER) AS zone, CAST(zone * 6 + CASE WHEN share_no = 6 THEN list_filter([0, 1, 2, 3, 4, 5], lambda z: z <> a AND z <> b)[c + 1] WHEN share_no % 2 = 0 THEN a ELSE b END AS INTEGER) AS node FROM x5"
+    )
+
+
+@query(f"WITH {_seeded(6)}")
 def zone_aware_placement(spark: SparkSession, sf_dir: str) -> DataFrame:
     """OP-32, 126, 173: seeded placement, two shares to a zone, on distinct nodes."""
-    placed = P.placement(_ids(spark, sf_dir))
-    per = placed.groupBy("id", "zone").agg(F.count("*").alias("n"), F.count_distinct("node").alias("k"))
-    return per.groupBy("id").agg(F.sum("k").cast("int").alias("n_nodes"), F.max("n").cast("int").alias("most_in_zone"), F.min("n").cast("int").alias("least_in_zone"))
+    return P.placement(_ids(spark, sf_dir))
 
 
-@query("SELECT doc_id AS id, 7 AS n_nodes, 3 AS most_in_zone, 2 AS least_in_zone FROM documents")
+@query(f"WITH {_seeded(7)}")
 def seven_share_placement(spark: SparkSession, sf_dir: str) -> DataFrame:
     """OP-174: three, two and two."""
-    placed = P.placement(_ids(spark, sf_dir), 7)
-    per = placed.groupBy("id", "zone").agg(F.count("*").alias("n"), F.count_distinct("node").alias("k"))
-    return per.groupBy("id").agg(F.sum("k").cast("int").alias("n_nodes"), F.max("n").cast("int").alias("most_in_zone"), F.min("n").cast("int").alias("least_in_zone"))
+    return P.placement(_ids(spark, sf_dir), 7)
+
+
+_DRAWS = "f AS (SELECT * FROM (VALUES " + ", ".join(map(str, P.churn_draws(8))) + ") t(round, increment, tick, down_mask))"
 
 
-@query()
+@query(f"WITH {_PLACED}, {_MASKS}, {_DRAWS}, m AS (SELECT f.*, k.id, bit_count(k.mask & f.down_mask) AS gone FROM f JOIN k ON k.mask & f.down_mask <> 0) SELECT f.round, f.increment, f.tick, CAST(f.down_mask AS BIGINT) AS down_mask, count(m.id) AS degraded, count(DISTINCT m.id % 64) AS affected_owners, count(*) FILTER (gone > 2) AS unrecoverable FROM f LEFT JOIN m ON m.round = f.round AND m.increment = f.increment GROUP BY ALL")
 def churn_rounds(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """OP-135, 181: seeded failures, eight rounds."""
-    return P.churn(P.placement(_ids(spark, sf_dir)), 8)
+    """OP-66, 135, 181: seeded failures over eight rounds, each repaired before the next."""
+    return P.churn(_placed(spark, sf_dir), 8)
 
 
 @query("SELECT n_nationkey AS id, 4096 AS n_bytes, true AS script FROM nation")
@@ -92,7 +108,7 @@ def generated_scripts(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query(f"WITH RECURSIVE {_EDGES}, {_PATHS} SELECT node, CAST(min(cost) AS BIGINT) AS cost, arg_min(path, (cost, path)) AS path FROM w GROUP BY node")
 def shortest_paths(spark: SparkSession, sf_dir: str) -> DataFrame:
     """OP-46, 166, 169: cheapest paths of the fixed scenario."""
-    return P.shortest_paths(P.links(spark), "replacement", 4)
+    return P.shortest_paths(P.links(spark), "replacement")
 
 
 _ROUTES = [("direct", ["replacement", "us-west"]), ("relay", ["replacement", "relay-us", "us-west"]), ("gap", ["replacement", "relay-us", "ap-east"]), ("loop", ["replacement", "relay-us", "replacement"]), ("long", ["us-east", "replacement", "relay-ap", "ap-east"])]
@@ -115,7 +131,7 @@ def helper_choice(spark: SparkSession, sf_dir: str) -> DataFrame:
     nodes = spark.createDataFrame([(i, n, r) for i, (n, r) in enumerate(P.HELPERS)], "i int, name string, rate double")
     losses = spark.createDataFrame(_LOSSES, "scenario string, off array<int>")
     policies = spark.createDataFrame([("availability",), ("bandwidth",), ("cost",)], "policy string")
-    paths = P.shortest_paths(P.links(spark), "replacement", 4).select(F.col("node").alias("name"), "cost")
+    paths = P.shortest_paths(P.links(spark), "replacement").select(F.col("node").alias("name"), "cost")
     rank = F.when(F.col("policy") == "availability", F.col("i").cast("double")).when(F.col("policy") == "bandwidth", -F.col("rate")).otherwise(F.col("cost").cast("double"))
     offered = nodes.join(paths, "name").join(F.broadcast(losses), ~F.array_contains("off", F.col("i"))).join(F.broadcast(policies))
     chosen = offered.withColumn("k", F.row_number().over(Window.partitionBy("scenario", "policy").orderBy(rank, "i"))).where("k <= 4")
@@ -145,12 +161,12 @@ def zero_sum_primary(spark: SparkSession, sf_dir: str) -> DataFrame:
 _TERMS = "t AS (SELECT l_orderkey AS id, ascii(l_returnflag) AS flag, l_linenumber % 3 AS line, round(l_quantity - 25, 2) AS c FROM lineitem), s AS (SELECT id, flag, line, sum(c) AS c FROM t GROUP BY ALL)"
 
 
-@query(f"WITH {_TERMS} SELECT id AS entity_id, CAST(count(*) FILTER (abs(c) >= 1e-9) AS INTEGER) AS n_terms FROM s GROUP BY id")
+@query(f"WITH {_TERMS} SELECT id AS entity_id, CAST(count(*) FILTER (abs(c) >= 1e-9) AS INTEGER) AS n_terms, sha256(coalesce(string_agg('coeff:' || {_exponent('c')} || '|exp:[' || flag || ', ' || line || ']', ';' ORDER BY flag, line) FILTER (abs(c) >= 1e-9), '')) AS key FROM s GROUP BY id")
 def canonical_terms(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """OP-151: like terms of an order summed, cancelled ones dropped."""
+    """OP-151: like terms of an order summed, cancelled ones dropped, the rest in canonical form."""
     exponents = F.array(F.ascii("l_returnflag").cast("long"), (F.col("l_linenumber") % 3).cast("long"))
     terms = O.table(spark, sf_dir, "lineitem").select(F.col("l_orderkey").alias("entity_id"), exponents.alias("exponents"), F.round(F.col("l_quantity") - 25, 2).alias("coefficient"))
-    return P.canonical(terms).select("entity_id", "n_terms")
+    return P.canonical(terms).select("entity_id", "n_terms", "key")
 
 
 @query("WITH p AS (SELECT c_nationkey AS g, c_acctbal AS x, c_acctbal / 2 + c_custkey % 100 AS y FROM customer), m AS (SELECT g, avg(x) AS cx, avg(y) AS cy FROM p GROUP BY g) SELECT p.g AS nation, round(min(x), 6) AS x0, round(max(x), 6) AS x1, round(min(y), 6) AS y0, round(max(y), 6) AS y1, round(any_value(cx), 4) AS cx, round(any_value(cy), 4) AS cy, round(sqrt(avg((x - cx) * (x - cx) + (y - cy) * (y - cy))), 4) AS scale FROM p JOIN m USING (g) GROUP BY p.g")

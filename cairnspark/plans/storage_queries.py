@@ -194,25 +194,26 @@ def selected_bytes(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rows.groupBy("family").agg(F.count("*").alias("n_files"), F.sum("n_bytes").cast("long").alias("input_bytes"), F.sum(size).cast("long").alias("selected_bytes"), F.sum(X.variable_coded(size)).cast("long").alias("coded_bytes"), F.count_if(F.col("c.encoding") == "zstd").alias("n_zstd"), F.count_if("c.skipped").alias("n_skipped"))
 
 
-@query(f"WITH {_DOCS} SELECT ord, sha256(b) AS sha256, true AS exact FROM docs WHERE n > 0")
+@query(f"WITH {_DOCS} SELECT ord, sha256(b) AS sha256, true AS exact FROM docs")
 def restored_from_chunks(spark: SparkSession, sf_dir: str) -> DataFrame:
     """OP-34, 42, 140: chunks stored once, compressed, and every object rebuilt from its references."""
     docs = O.documents(spark, sf_dir).select("ord", "bytes")
     rows = S.chunks(docs, CHUNK)
     stored = rows.groupBy("sha256").agg(F.first("chunk").alias("chunk")).select("sha256", S.choose("chunk").alias("c")).select("sha256", "c.encoding", "c.payload").select("sha256", S.decoded("encoding", "payload").alias("chunk"))
     whole = S.rebuilt(rows.select("ord", "chunk_no", "sha256"), stored, "ord", "chunk_no", "sha256")
-    marks = docs.select("ord", F.sha2("bytes", 256).alias("sha256"))
-    return whole.join(marks, "ord").select("ord", F.sha2("bytes", 256).alias("sha256"), (F.sha2("bytes", 256) == F.col("sha256")).alias("exact"))
+    marks = docs.select("ord", F.sha2("bytes", 256).alias("mark")).join(whole, "ord", "left").withColumn("sha256", F.sha2(F.coalesce("bytes", F.lit(b"")), 256))
+    return marks.select("ord", "sha256", (F.col("sha256") == F.col("mark")).alias("exact"))
 
 
-@query(f"WITH {_DOCS} SELECT ord, CAST(n AS BIGINT) AS n_bytes, true AS covered, true AS sizes_hold FROM docs WHERE n > 0")
+@query(f"WITH {_DOCS} SELECT ord, CAST(n AS BIGINT) AS n_bytes, true AS covered, true AS sizes_hold FROM docs")
 def content_chunks_cover(spark: SparkSession, sf_dir: str) -> DataFrame:
     """OP-137: content-defined chunks cover each object once, within the bounds of size."""
     docs = O.documents(spark, sf_dir)
     each = S.content_chunks(docs, 1024, 4096, 16384)
     last = each.groupBy("ord").agg(F.max("chunk_no").alias("last"))
     held = each.join(last, "ord").groupBy("ord").agg(F.sum("len").cast("long").alias("total"), F.max(F.col("off") + F.col("len")).cast("long").alias("end"), F.bool_and((F.col("len") <= 16384) & ((F.col("len") >= 1024) | (F.col("chunk_no") == F.col("last")))).alias("sizes_hold"))
-    return docs.join(held, "ord").select("ord", "n_bytes", ((F.col("total") == F.col("n_bytes")) & (F.col("end") == F.col("n_bytes"))).alias("covered"), "sizes_hold")
+    held = docs.select("ord", "n_bytes").join(held, "ord", "left").fillna(0, ["total", "end"]).fillna(True, ["sizes_hold"])
+    return held.select("ord", "n_bytes", ((F.col("total") == F.col("n_bytes")) & (F.col("end") == F.col("n_bytes"))).alias("covered"), "sizes_hold")
 
 
 @query(f"WITH {_DOCS} SELECT ord, sha256(unhex('{''.join(f'{b ^ 0x5C:02x}' for b in b'key for tests'.ljust(64, bytes(1)))}') || unhex(sha256(unhex('{''.join(f'{b ^ 0x36:02x}' for b in b'key for tests'.ljust(64, bytes(1)))}') || b))) AS tag FROM docs")
