@@ -38,7 +38,7 @@ def test_entry(spark):
     assert __spark_entry__.entry(spark).count() > 0
 
 
-@pytest.mark.parametrize("name", ["selected_bytes", "base_arms", "proposal_funnel", "churn_rounds", "entity_store_counts"])
+@pytest.mark.parametrize("name", ["selected_bytes", "base_arms", "proposal_funnel", "entity_store_counts", "control_arms_compressed"])
 def test_rows_only(spark, name):
     rows = __spark_entry__.queries()[name](spark, SF).collect()
     assert rows
@@ -49,3 +49,7 @@ def test_rows_only(spark, name):
         assert r.total_bytes == r.literal_bytes + r.middle_bytes + r.item_bytes + r.header_bytes
     if name == "selected_bytes":
         assert all(r.selected_bytes <= r.input_bytes for r in rows)
+    if name == "control_arms_compressed":
+        assert {(r.arm, r.mode) for r in rows} == {(a, m) for a in ("P", "A1", "A2", "C1") for m in "NZ"}
+        size = {(r.arm, r.mode): r.packed_bytes for r in rows}
+        assert all(size[a, "Z"] <= size[a, "N"] for a in ("P", "A1", "A2", "C1")) and size["A1", "N"] <= size["P", "N"]

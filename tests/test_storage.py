@@ -123,3 +123,52 @@ def test_sources(spark, tmp_path):
     O.write_shares(shares, str(tmp_path / "shares"))
     with pytest.raises(Exception):
         O.write_once(shares, str(tmp_path / "shares"))
+
+
+def test_churn_draws_against_plain_integers():
+    from cairnspark.operators import simulation as P
+
+    state, word = P.CHURN_SEED, (1 << 64) - 1
+
+    def draw(below):
+        nonlocal state
+        state ^= (state << 13) & word
+        state ^= state >> 7
+        state ^= (state << 17) & word
+        return state % below
+
+    want, tick = [], 0
+    for k in range(1, 33):
+        down = 0
+        for i in range(1 + draw(2)):
+            tick += 1 + draw(5)
+            node = draw(18)
+            while down >> node & 1:
+                node = draw(18)
+            down |= 1 << node
+            want.append((k, i + 1, tick, down))
+    assert P.churn_draws(32) == want
+    assert {bin(d).count("1") for *_, d in want} == {1, 2}
+    with pytest.raises(ValueError):
+        P.churn_draws(33)
+
+
+def test_paths_of_any_length(spark):
+    from cairnspark.operators import simulation as P
+
+    chain = [(f"n{i:02d}", f"n{i + 1:02d}", 1, 1.0) for i in range(14)] + [("n00", "n14", 99, 1.0)]
+    best = {r.node: (r.cost, r.path) for r in P.shortest_paths(P.links(spark, chain), "n00").collect()}
+    assert best["n14"] == (14, ">".join(f"n{i:02d}" for i in range(15))) and len(best) == 15
+
+
+def test_chains_of_any_length(spark):
+    from cairnspark.operators import ledgers as L
+    from cairnspark.operators import similarity as M
+    from pyspark.sql import functions as F
+
+    texts = [b"start of a text " * 20 + bytes([65 + i]) * i for i in range(20)]
+    pairs = spark.createDataFrame([(i, i - 1 if i else None, texts[i - 1] if i else b"", t) for i, t in enumerate(texts)], "ord long, base long, b binary, t binary")
+    choices = pairs.select("ord", "base", F.when(F.col("base").isNull(), F.col("t")).otherwise(M.patch("b", "t")).alias("payload"))
+    assert {r.ord: bytes(r.bytes) for r in L.resolved(choices).collect()} == dict(enumerate(texts))
+    with pytest.raises(ValueError):
+        L.resolved(choices.where("ord <> 3")).collect()
