@@ -43,4 +43,4 @@ def test_a_patch_chain_that_never_ends_is_an_error(spark):
 
     loop = spark.createDataFrame([(1, 2, b"x"), (2, 1, b"y")], "ord long, base long, payload binary")
     with pytest.raises(ValueError):
-        ledgers.resolved(loop, most=2)
+        ledgers.resolved(loop)
