@@ -21,9 +21,15 @@ def session(name: str = "cairnspark", **conf: str) -> SparkSession:
     return builder.getOrCreate()
 
 
-def written(df: DataFrame) -> DataFrame:
-    """The table in the folder of spark.checkpoint.dir, read from there; where that is unset, in a folder of this machine."""
-    context = df.sparkSession.sparkContext
+def shared_folder(spark: SparkSession) -> str:
+    """The folder of spark.checkpoint.dir; where that is unset, a folder of this machine."""
+    context = spark.sparkContext
     if context._jsc.sc().getCheckpointDir().isEmpty():
         context.setCheckpointDir(context.getConf().get("spark.checkpoint.dir") or tempfile.mkdtemp(prefix="checkpoint-"))
+    return context._jsc.sc().getCheckpointDir().get()
+
+
+def written(df: DataFrame) -> DataFrame:
+    """The table in the shared folder, read from there."""
+    shared_folder(df.sparkSession)
     return df.checkpoint(eager=True)

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -36,6 +36,12 @@ def files(spark: SparkSession, folder: str, extension: str | None = None, any_ca
     return found.select("path", F.col("content").alias("bytes"), F.col("length").alias("n_bytes"))
 
 
+def corpus(spark: SparkSession, folder: str, names: list[str], extension: str) -> DataFrame:
+    """objects(path, bytes, n_bytes): the files of a fixed list of relative names, and all of an extension."""
+    found = files(spark, folder)
+    return found.where(F.substring_index("path", folder.rstrip("/").rsplit("/", 1)[-1] + "/", -1).isin(names) | F.col("path").endswith(extension))
+
+
 def with_order(df: DataFrame, by: str, prefix: int = 2) -> DataFrame:
     """Adds ``ord``, the place in the order of a unique string column.
 
@@ -65,17 +71,54 @@ def csv_manifest(spark: SparkSession, path: str, split: str | None = None, separ
     return (rows.where(F.col("split") == split) if split else rows).orderBy("path")
 
 
-def json_manifest(spark: SparkSession, path: str, rows: str = "files") -> DataFrame:
-    """The rows nested in a JSON manifest."""
-    return spark.read.json(path, multiLine=True).select(F.explode(rows).alias("row")).select("row.*")
+def json_manifest(spark: SparkSession, path: str, rows: str = "files", lines: bool = False) -> DataFrame:
+    """The rows nested in JSON manifests: one to a file, or one to a line."""
+    return spark.read.json(path, multiLine=not lines).select(F.explode(rows).alias("row")).select("row.*")
+
+
+def _met(found: DataFrame, manifest: DataFrame, key: str) -> DataFrame:
+    both = found.select(key, F.col("bytes").alias("f_bytes"), F.col("sha256").alias("f_sha")).join(manifest.select(key, F.col("bytes").alias("m_bytes"), F.col("sha256").alias("m_sha")), key, "full_outer")
+    problem = F.when(F.col("f_sha").isNull(), "missing").when(F.col("m_sha").isNull(), "extra").when(F.col("f_bytes") != F.col("m_bytes"), "size").when(F.col("f_sha") != F.col("m_sha"), "hash")
+    return both.withColumn("problem", problem)
 
 
 def manifest_problems(found: DataFrame, manifest: DataFrame, key: str = "path") -> DataFrame:
     """(path, problem): names missing, extra or repeated, and drift of size or hash."""
     twice = manifest.groupBy(key).count().where("count > 1").select(key, F.lit("repeated").alias("problem"))
-    both = found.select(key, F.col("bytes").alias("f_bytes"), F.col("sha256").alias("f_sha")).join(manifest.select(key, F.col("bytes").alias("m_bytes"), F.col("sha256").alias("m_sha")), key, "full_outer")
-    problem = F.when(F.col("f_sha").isNull(), "missing").when(F.col("m_sha").isNull(), "extra").when(F.col("f_bytes") != F.col("m_bytes"), "size").when(F.col("f_sha") != F.col("m_sha"), "hash")
-    return both.withColumn("problem", problem).where("problem is not null").select(key, "problem").unionByName(twice)
+    return _met(found, manifest, key).where("problem is not null").select(key, "problem").unionByName(twice)
+
+
+def verified(found: DataFrame, manifest: DataFrame, key: str = "path") -> DataFrame:
+    """(path, bytes, sha256) of what agrees with its manifest; the first disagreement ends the job."""
+    wrong = F.raise_error(F.concat_ws(": ", "problem", key))
+    return _met(found, manifest, key).select(key, F.col("m_bytes").alias("bytes"), F.when(F.col("problem").isNotNull(), wrong).otherwise(F.col("m_sha")).alias("sha256"))
+
+
+def write_file(spark: SparkSession, path: str, data: bytes) -> None:
+    """One file, synced; refuses an existing one."""
+    target = spark._jvm.org.apache.hadoop.fs.Path(path)
+    out = target.getFileSystem(spark._jsc.hadoopConfiguration()).create(target, False)
+    try:
+        out.write(bytearray(data))
+        out.hsync()
+    finally:
+        out.close()
+
+
+def publish(df: DataFrame, path: str, mark: Column) -> None:
+    """Writes beside the target, validates what was written by its rows and the sum of ``mark``, and renames; refuses an existing target."""
+    spark = df.sparkSession
+    target, staged = (spark._jvm.org.apache.hadoop.fs.Path(p) for p in (path, f"{path}.staged"))
+    system = target.getFileSystem(spark._jsc.hadoopConfiguration())
+    if system.exists(target):
+        raise FileExistsError(path)
+    df.write.mode("errorifexists").parquet(staged.toString())
+    sums = lambda rows: rows.agg(F.count("*"), F.sum(mark.cast("decimal(38,0)"))).first()
+    if sums(df) != sums(spark.read.parquet(staged.toString())):
+        system.delete(staged, True)
+        raise RuntimeError(f"what was written for {path} differs from its input")
+    if not system.rename(staged, target):
+        raise FileExistsError(path)
 
 
 def write_once(df: DataFrame, path: str) -> None:
@@ -92,3 +135,16 @@ def to_markdown(df: DataFrame) -> str:
     """A small report as a markdown table."""
     rows = [df.columns, ["---"] * len(df.columns), *([str(v) for v in r] for r in df.collect())]
     return "\n".join("| " + " | ".join(r) + " |" for r in rows)
+
+
+def report(df: DataFrame, form: str) -> DataFrame:
+    """(line_no, line) of a report as ``markdown``, ``tsv`` or ``json``, in the order of its first column; for reports of few rows."""
+    cells = [F.coalesce(F.col(c).cast("string"), F.lit("")) for c in df.columns]
+    markdown = lambda values: F.concat(F.lit("| "), F.concat_ws(" | ", *values), F.lit(" |"))
+    row = {"markdown": markdown(cells), "tsv": F.concat_ws("\t", *cells), "json": F.to_json(F.struct(*df.columns))}[form]
+    names, rules = [F.lit(c) for c in df.columns], [F.lit("---")] * len(df.columns)
+    heads = {"markdown": [markdown(names), markdown(rules)], "tsv": [F.concat_ws("\t", *names)], "json": []}[form]
+    rows = df.select((F.row_number().over(Window.orderBy(df.columns[0])) + len(heads) - 1).cast("long").alias("line_no"), row.alias("line"))
+    for k, head in enumerate(heads):
+        rows = rows.unionByName(df.sparkSession.range(1).select(F.lit(k).cast("long").alias("line_no"), head.alias("line")))
+    return rows
