@@ -96,16 +96,43 @@ def compressed_size(data: str) -> Column:
     return run(data)
 
 
-def choose_bases(objects: DataFrame, proposals: DataFrame, least_gain: int) -> DataFrame:
-    """(ord, base, standalone, selected, attempts, exact): the smallest verified patch of each file, ties to the lower base, if it gains enough; else the file alone."""
-    alone = objects.select("ord", "bytes", compressed_size("bytes").alias("standalone"))
+def in_turn(*lists: DataFrame) -> DataFrame:
+    """(ord, base, rank) of lists of candidates one after the other, each base once."""
+    every = None
+    for k, rows in enumerate(lists):
+        part = rows.select("ord", "base", F.struct(F.lit(k), F.col("rank").cast("int")).alias("at"))
+        every = part if every is None else every.unionByName(part)
+    first = every.groupBy("ord", "base").agg(F.min("at").alias("at"))
+    return first.select("ord", "base", F.row_number().over(Window.partitionBy("ord").orderBy("at")).alias("rank"))
+
+
+def compared(files: DataFrame, one: DataFrame, other: DataFrame) -> DataFrame:
+    """How the choices (ord, one) and (ord, other) of two arms meet over all files."""
+    a, b = F.col("one"), F.col("other")
+    return files.join(one, "ord", "left").join(other, "ord", "left").agg(F.count("*").alias("n_files"), F.count_if(a.isNotNull() & b.isNotNull()).alias("comparable"), F.count_if(a == b).alias("same_base"), F.count_if(a != b).alias("different_base"), F.count_if(a.isNull() & b.isNotNull()).alias("other_only"))
+
+
+def choose_for_arms(objects: DataFrame, proposals: DataFrame, gains: dict[str, int]) -> DataFrame:
+    """(arm, ord, base, standalone, selected, attempts, exact) of proposals (arm, ord, base): the smallest verified patch of each file in each arm.
+
+    Ties go to the lower base; a patch that gains less than the arm asks leaves
+    the file alone.  A pair that several arms propose is patched once.
+    """
+    alone = objects.select("ord", compressed_size("bytes").alias("standalone"))
     base = objects.select(F.col("ord").alias("base"), F.col("bytes").alias("base_bytes"))
-    tried = proposals.select("ord", "base").distinct().join(base, "base").join(objects.select("ord", "bytes"), "ord").withColumn("payload", patch("base_bytes", "bytes"))
-    tried = tried.select("ord", "base", F.octet_length("payload").alias("size"), (unpatch("base_bytes", "payload") == F.col("bytes")).alias("exact"))
-    best = tried.groupBy("ord").agg(F.min(F.when(F.col("exact"), F.struct("size", "base"))).alias("best"), F.count("*").alias("attempts"), F.bool_and("exact").alias("exact"))
+    pairs = proposals.groupBy("ord", "base").agg(F.collect_set("arm").alias("arms"))
+    tried = pairs.join(base, "base").join(objects.select("ord", "bytes"), "ord").withColumn("payload", patch("base_bytes", "bytes"))
+    tried = tried.select(F.explode("arms").alias("arm"), "ord", "base", F.octet_length("payload").alias("size"), (unpatch("base_bytes", "payload") == F.col("bytes")).alias("exact"))
+    best = tried.groupBy("arm", "ord").agg(F.min(F.when(F.col("exact"), F.struct("size", "base"))).alias("best"), F.count("*").alias("attempts"), F.bool_and("exact").alias("exact"))
+    asked = F.explode(F.array(*(F.struct(F.lit(a).alias("arm"), F.lit(g).alias("least_gain")) for a, g in gains.items()))).alias("x")
     gain = F.col("standalone") - F.col("best.size")
-    takes = F.coalesce(gain >= least_gain, F.lit(False))
-    return alone.join(best, "ord", "left").select("ord", F.when(takes, F.col("best.base")).alias("base"), "standalone", F.when(takes, F.col("best.size")).otherwise(F.col("standalone")).alias("selected"), F.coalesce("attempts", F.lit(0)).alias("attempts"), F.coalesce("exact", F.lit(True)).alias("exact"))
+    takes = F.coalesce(gain >= F.col("least_gain"), F.lit(False))
+    return alone.select("ord", "standalone", asked).select("ord", "standalone", "x.*").join(best, ["arm", "ord"], "left").select("arm", "ord", F.when(takes, F.col("best.base")).alias("base"), "standalone", F.when(takes, F.col("best.size")).otherwise(F.col("standalone")).alias("selected"), F.coalesce("attempts", F.lit(0)).alias("attempts"), F.coalesce("exact", F.lit(True)).alias("exact"))
+
+
+def choose_bases(objects: DataFrame, proposals: DataFrame, least_gain: int) -> DataFrame:
+    """The choices of a single arm with the proposals (ord, base)."""
+    return choose_for_arms(objects, proposals.select(F.lit("").alias("arm"), "ord", "base"), {"": least_gain}).drop("arm")
 
 
 def arm_summary(choices: DataFrame) -> DataFrame:

@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+from .. import session
 from ..functions import expressions as X
 from ..operators import similarity as M
 from ..sources import objects as O
@@ -45,30 +46,73 @@ def anchor_candidates(spark: SparkSession, sf_dir: str) -> DataFrame:
     return M.newest_by_anchor(O.documents(spark, sf_dir).select("ord", X.anchors(F.col("bytes")).alias("anchors")))
 
 
+def _keyed(spark: SparkSession, sf_dir: str, k: int = M.TRIES) -> DataFrame:
+    """The k earlier documents that share most occurrences of lines for their size; ties to the latest."""
+    counts = _lines(spark, sf_dir).groupBy("ord", "feature").agg(F.count("*").alias("n"))
+    return M.top(M.normalised(counts), F.desc("ratio"), F.desc("shared"), F.desc("base"), k=k).select("ord", "base", "rank")
+
+
 def _proposals(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, dict[str, tuple[DataFrame, int]]]:
     docs = O.documents(spark, sf_dir).select("ord", "family", "bytes")
-    named = M.first_of_family(docs.select("ord", "family", F.sha2("bytes", 256).alias("sha256"))).where("base is not null")
-    sketched = M.top(M.overlaps(_lines(spark, sf_dir).distinct()), F.desc("shared"), F.col("base")).select("ord", "base")
-    hybrid = named.unionByName(M.top(M.overlaps(_lines(spark, sf_dir).distinct()), F.desc("shared"), F.col("base"), k=1).select("ord", "base")).distinct()
-    return docs, {"name": (named, M.LEAST_NAME_GAIN), "sketch": (sketched, M.LEAST_GAIN), "hybrid": (hybrid, M.LEAST_GAIN)}
+    named = M.first_of_family(docs.select("ord", "family", F.sha2("bytes", 256).alias("sha256"))).where("base is not null").select("ord", "base", F.lit(1).alias("rank"))
+    sketched = M.top(M.overlaps(_lines(spark, sf_dir).distinct()), F.desc("shared"), F.col("base")).select("ord", "base", "rank")
+    keyed = session.written(_keyed(spark, sf_dir))
+    return docs, {
+        "none": (named.limit(0), M.LEAST_GAIN),
+        "name": (named, M.LEAST_NAME_GAIN),
+        "sketch": (sketched, M.LEAST_GAIN),
+        "key": (keyed, M.LEAST_GAIN),
+        "name+key": (M.in_turn(named, keyed), M.LEAST_GAIN),
+        "hybrid": (M.in_turn(named, keyed.where("rank = 1")), M.LEAST_GAIN),
+    }
+
+
+_KEYS = f"{_LINES}, c AS (SELECT ord, line, count(*) AS n FROM l GROUP BY ALL), z AS (SELECT ord, sum(n) AS size FROM c GROUP BY ord), s AS (SELECT a.ord, b.ord AS base, sum(least(a.n, b.n)) AS shared FROM c a JOIN c b ON a.line = b.line AND b.ord < a.ord GROUP BY ALL), r AS (SELECT s.*, shared / greatest(1, least(x.size, y.size)) AS ratio FROM s JOIN z x ON x.ord = s.ord JOIN z y ON y.ord = s.base), keys AS (SELECT ord, base, row_number() OVER (PARTITION BY ord ORDER BY ratio DESC, shared DESC, base DESC) AS rank FROM r QUALIFY rank <= 3)"
+_NAMES = "u AS (SELECT min(doc_id) AS ord FROM documents GROUP BY text), f AS (SELECT source, min(doc_id) AS base FROM documents JOIN u ON u.ord = doc_id GROUP BY source), names AS (SELECT doc_id AS ord, base FROM documents JOIN f USING (source) WHERE base < doc_id)"
+_CANDIDATES = f"{_KEYS}, {_NAMES}, p AS (SELECT 'name' AS arm, ord, base, 0 AS rank FROM names UNION ALL SELECT 'key', ord, base, rank FROM keys UNION ALL SELECT 'name+key', ord, base, 0 FROM names UNION ALL SELECT 'name+key', ord, base, rank FROM keys UNION ALL SELECT 'hybrid', ord, base, 0 FROM names UNION ALL SELECT 'hybrid', ord, base, rank FROM keys WHERE rank = 1), q AS (SELECT arm, ord, base, min(rank) AS rank FROM p GROUP BY ALL), candidates AS (SELECT arm, ord, base, CAST(row_number() OVER (PARTITION BY arm, ord ORDER BY rank) AS INTEGER) AS place FROM q)"
+
+
+@query(f"WITH {_CANDIDATES} SELECT * FROM candidates")
+def arm_candidates(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """OP-91, 160, 161: the bases that each arm tries, in turn: by name, by keys, by both without repeats, by name and the best key."""
+    _, arms = _proposals(spark, sf_dir)
+    out = None
+    for arm in ("name", "key", "name+key", "hybrid"):
+        rows = arms[arm][0].select(F.lit(arm).alias("arm"), "ord", "base", F.col("rank").alias("place"))
+        out = rows if out is None else out.unionByName(rows)
+    return out
 
 
-def _choices(spark: SparkSession, sf_dir: str) -> DataFrame:
+@query(f"WITH {_CANDIDATES}, h AS (SELECT arm, ord, base FROM candidates WHERE place = 1), g AS (SELECT * FROM (VALUES ('name', 'key'), ('key', 'hybrid')) t(a, b)), x AS (SELECT g.a, g.b, doc_id AS ord, m.base AS one, n.base AS other FROM g CROSS JOIN documents LEFT JOIN h m ON m.arm = g.a AND m.ord = doc_id LEFT JOIN h n ON n.arm = g.b AND n.ord = doc_id) SELECT a AS arm, b AS other_arm, count(*) AS n_files, count(*) FILTER (one IS NOT NULL AND other IS NOT NULL) AS comparable, count(*) FILTER (one = other) AS same_base, count(*) FILTER (one <> other) AS different_base, count(*) FILTER (one IS NULL AND other IS NOT NULL) AS other_only FROM x GROUP BY ALL")
+def arm_comparison(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """OP-45: two arms' first choices, file by file."""
     docs, arms = _proposals(spark, sf_dir)
     out = None
-    for arm, (proposed, gain) in arms.items():
-        rows = M.choose_bases(docs, proposed, gain).withColumn("arm", F.lit(arm))
+    for a, b in (("name", "key"), ("key", "hybrid")):
+        one, other = (arms[x][0].where("rank = 1").select("ord", F.col("base").alias(c)) for x, c in ((a, "one"), (b, "other")))
+        rows = M.compared(docs.select("ord"), one, other).select(F.lit(a).alias("arm"), F.lit(b).alias("other_arm"), "*")
         out = rows if out is None else out.unionByName(rows)
     return out
 
 
+def _choices(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every arm's choices; a pair that several arms propose is patched once."""
+    docs, arms = _proposals(spark, sf_dir)
+    every = None
+    for arm, (proposed, gain) in arms.items():
+        rows = proposed.select(F.lit(arm).alias("arm"), F.lit(gain).alias("least_gain"), "ord", "base")
+        every = rows if every is None else every.unionByName(rows)
+    gains = {arm: gain for arm, (_, gain) in arms.items()}
+    return M.choose_for_arms(docs, every, gains)
+
+
 @query()
 def base_arms(spark: SparkSession, sf_dir: str) -> DataFrame:
     """OP-45, 61, 63, 77, 91, 160, 161, 163: what each way to propose bases saves."""
     return M.arm_summary(_choices(spark, sf_dir))
 
 
-@query("SELECT arm, count(*) AS n_files, true AS exact FROM documents, (SELECT unnest(['name', 'sketch', 'hybrid']) AS arm) GROUP BY arm")
+@query("SELECT arm, count(*) AS n_files, true AS exact FROM documents, (SELECT unnest(['none', 'name', 'sketch', 'key', 'name+key', 'hybrid']) AS arm) GROUP BY arm")
 def base_arms_exact(spark: SparkSession, sf_dir: str) -> DataFrame:
     """OP-34, 163: every patch that was tried restores its target."""
     return _choices(spark, sf_dir).groupBy("arm").agg(F.count("*").alias("n_files"), F.bool_and("exact").alias("exact"))
