@@ -40,8 +40,8 @@ BLOCK_SHINGLES, COLUMNS = 1 << 20, 128
 SLICES = 4
 #: Documents of a shingle for each part of its list, so that a shingle of very many is no hot key.
 LIST_PART = 1024
-#: Shares of a part's nodes, each of which is told the part's smallest id by itself.
-SHARES = 16
+#: Shares of the rows of one key, each of which is told by itself what the key stands for.
+SHARES = 64
 #: Columns of each list in the second round.
 MORE = 3
 _LOW = np.uint64(16)
@@ -174,6 +174,17 @@ def _join(left: DataFrame, right: DataFrame, on: str | list[str], how: str = "in
     return left.join(right.hint("merge"), on, how)
 
 
+def _told(rows: DataFrame, table: DataFrame, key: str, by: str) -> DataFrame:
+    """Rows with what a table, of one row a key, says of their key, or null.
+
+    A key of very many rows is no hot key: rows are shared out by ``by``, and the
+    table answers once to each share that there is.
+    """
+    held = rows.withColumn("share", F.pmod(F.xxhash64(by), F.lit(SHARES)).cast("int"))
+    answers = _join(held.select(key, "share").distinct(), table, key)
+    return _join(held, answers, [key, "share"], "left").drop("share")
+
+
 def _up(parents: DataFrame, id_name: str) -> DataFrame:
     return parents.select(F.col("id").alias(id_name), F.col("root").alias("top"))
 
@@ -453,9 +464,10 @@ def linked(docs: DataFrame, *, width: int = WIDTH, link: int = LINK, id_col: str
         more = kept(_rest(nodes, held, link)) if not held.isEmpty() else held.limit(0)
         if not more.isEmpty():
             parts = _parts(nodes, edges.unionByName(more))
-    # A part of very many nodes is no hot key: its smallest id goes to each of its shares.
-    sized = _join(nodes.select("node", "first"), parts, "node").withColumn("share", F.pmod(F.xxhash64("node"), F.lit(SHARES)).cast("int"))
-    smallest = sized.groupBy("part", "share").agg(F.min("first").alias("first"), F.count("*").alias("k")).groupBy("part").agg(F.min("first").alias("component"), F.sum("k").alias("k")).where("k > 1")
-    shares = smallest.select("part", "component", F.explode(F.sequence(F.lit(0), F.lit(SHARES - 1))).alias("share"))
-    named = _join(sized, shares, ["part", "share"], "left").select("node", F.coalesce("component", "first").alias("component"))
-    return _join(sets.select("id", "n", "node"), named, "node", "left").select(F.col("id").alias(id_col), F.col("n").alias("n_shingles"), F.when(F.col("node").isNull(), F.col("id")).otherwise(F.col("component")).alias("component_id"))
+    sized = _join(nodes.select("node", "first"), parts, "node")
+    smallest = sized.groupBy("part").agg(F.min("first").alias("component"), F.count("*").alias("k")).where("k > 1").drop("k")
+    named = _told(sized, smallest, "part", "node").select("node", F.coalesce("component", "first").alias("component"))
+    grouped = _told(may.select("id", "n", "node"), named, "node", "id")
+    # A text that can't link needs no answer.
+    alone = sets.where(F.col("node").isNull()).select("id", "n", F.col("id").alias("component"))
+    return grouped.select("id", "n", "component").unionByName(alone).toDF(id_col, "n_shingles", "component_id")
