@@ -16,13 +16,23 @@ _DOCS = "docs AS (SELECT doc_id AS ord, source AS family, encode(coalesce(text,
 
 
 def _lines(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return O.table(spark, sf_dir, "documents").select(F.col("doc_id").alias("ord"), F.explode(F.split(F.coalesce("text", F.lit("")), "\n", -1)).alias("feature"))
+    return O.table(spark, sf_dir, "documents").select(F.col("doc_id").alias("ord"), F.explode(F.split(F.coalesce("text", F.lit("")), "\n", -1)).alias("line")).select("ord", X.mark("line").alias("feature"))
+
+
+def _sketched(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The earlier documents that share most distinct lines; ties to the earliest."""
+    return M.nearest(_lines(spark, sf_dir).distinct().withColumn("n", F.lit(1)), sized=False, latest=False)
+
+
+def _keyed(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The earlier documents that share most occurrences of lines for their size; ties to the latest."""
+    return M.nearest(_lines(spark, sf_dir).groupBy("ord", "feature").agg(F.count("*").alias("n")), sized=True, latest=True)
 
 
 @query(f"WITH {_LINES}, f AS (SELECT DISTINCT * FROM l), s AS (SELECT a.ord, b.ord AS base, count(*) AS shared FROM f a JOIN f b ON a.line = b.line AND b.ord < a.ord GROUP BY ALL) SELECT ord, base, shared, CAST(rank AS INTEGER) AS rank FROM (SELECT *, row_number() OVER (PARTITION BY ord ORDER BY shared DESC, base) AS rank FROM s) WHERE rank <= 3")
 def feature_overlap_topk(spark: SparkSession, sf_dir: str) -> DataFrame:
     """OP-38, 75, 90: the three earlier documents that share most lines; ties to the earliest."""
-    return M.top(M.overlaps(_lines(spark, sf_dir).distinct()), F.desc("shared"), F.col("base")).select("ord", "base", "shared", "rank")
+    return _sketched(spark, sf_dir).select("ord", "base", "shared", "rank")
 
 
 @query(f"WITH {_LINES}, c AS (SELECT ord, line, count(*) AS n FROM l GROUP BY ALL), z AS (SELECT ord, sum(n) AS size FROM c GROUP BY ord), s AS (SELECT a.ord, b.ord AS base, sum(least(a.n, b.n)) AS shared FROM c a JOIN c b ON a.line = b.line AND b.ord < a.ord GROUP BY ALL), r AS (SELECT s.*, shared / greatest(1, least(x.size, y.size)) AS ratio FROM s JOIN z x ON x.ord = s.ord JOIN z y ON y.ord = s.base) SELECT ord, base, CAST(shared AS BIGINT) AS shared, round(ratio, 6) AS ratio, CAST(rank AS INTEGER) AS rank FROM (SELECT *, row_number() OVER (PARTITION BY ord ORDER BY ratio DESC, shared DESC, base DESC) AS rank FROM r) WHERE rank <= 3")
@@ -46,17 +56,11 @@ def anchor_candidates(spark: SparkSession, sf_dir: str) -> DataFrame:
     return M.newest_by_anchor(O.documents(spark, sf_dir).select("ord", X.anchors(F.col("bytes")).alias("anchors")))
 
 
-def _keyed(spark: SparkSession, sf_dir: str, k: int = M.TRIES) -> DataFrame:
-    """The k earlier documents that share most occurrences of lines for their size; ties to the latest."""
-    counts = _lines(spark, sf_dir).groupBy("ord", "feature").agg(F.count("*").alias("n"))
-    return M.top(M.normalised(counts), F.desc("ratio"), F.desc("shared"), F.desc("base"), k=k).select("ord", "base", "rank")
-
-
 def _proposals(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, dict[str, tuple[DataFrame, int]]]:
     docs = O.documents(spark, sf_dir).select("ord", "family", "bytes")
     named = M.first_of_family(docs.select("ord", "family", F.sha2("bytes", 256).alias("sha256"))).where("base is not null").select("ord", "base", F.lit(1).alias("rank"))
-    sketched = M.top(M.overlaps(_lines(spark, sf_dir).distinct()), F.desc("shared"), F.col("base")).select("ord", "base", "rank")
-    keyed = session.written(_keyed(spark, sf_dir))
+    sketched = _sketched(spark, sf_dir).select("ord", "base", "rank")
+    keyed = session.written(_keyed(spark, sf_dir).select("ord", "base", "rank"))
     return docs, {
         "none": (named.limit(0), M.LEAST_GAIN),
         "name": (named, M.LEAST_NAME_GAIN),
