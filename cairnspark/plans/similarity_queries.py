@@ -38,9 +38,7 @@ def feature_overlap_topk(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query(f"WITH {_LINES}, c AS (SELECT ord, line, count(*) AS n FROM l GROUP BY ALL), z AS (SELECT ord, sum(n) AS size FROM c GROUP BY ord), s AS (SELECT a.ord, b.ord AS base, sum(least(a.n, b.n)) AS shared FROM c a JOIN c b ON a.line = b.line AND b.ord < a.ord GROUP BY ALL), r AS (SELECT s.*, shared / greatest(1, least(x.size, y.size)) AS ratio FROM s JOIN z x ON x.ord = s.ord JOIN z y ON y.ord = s.base) SELECT ord, base, CAST(shared AS BIGINT) AS shared, round(ratio, 6) AS ratio, CAST(rank AS INTEGER) AS rank FROM (SELECT *, row_number() OVER (PARTITION BY ord ORDER BY ratio DESC, shared DESC, base DESC) AS rank FROM r) WHERE rank <= 3")
 def overlap_normalised(spark: SparkSession, sf_dir: str) -> DataFrame:
     """OP-39, 71, 76: shared occurrences over the smaller side; ties to the latest."""
-    counts = _lines(spark, sf_dir).groupBy("ord", "feature").agg(F.count("*").alias("n"))
-    ranked = M.top(M.normalised(counts), F.desc("ratio"), F.desc("shared"), F.desc("base"))
-    return ranked.select("ord", "base", "shared", F.round("ratio", 6).alias("ratio"), "rank")
+    return _keyed(spark, sf_dir).select("ord", "base", "shared", F.round("ratio", 6).alias("ratio"), "rank")
 
 
 @query("WITH u AS (SELECT min(doc_id) AS ord FROM documents GROUP BY text), f AS (SELECT source, min(doc_id) AS base FROM documents JOIN u ON u.ord = doc_id GROUP BY source) SELECT doc_id AS ord, CASE WHEN base < doc_id THEN base END AS base FROM documents JOIN f USING (source)")

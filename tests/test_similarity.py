@@ -42,3 +42,10 @@ def test_a_line_of_every_document_to_the_earliest(spark, alike):
     assert rows.count() == 3 * 60_000 - 6
     assert [tuple(r) for r in rows.where("ord = 40007").orderBy("rank").select("base", "shared").collect()] == [(7, 2), (20_007, 2), (0, 1)]
     assert rows.where("ord > 2 and ord % 20000 <> 7").groupBy("base", "rank").count().count() == 3
+
+
+def test_a_line_of_every_document_to_the_latest(spark, alike):
+    rows = __spark_entry__.queries()["overlap_normalised"](spark, alike)
+    assert rows.count() == 3 * 60_000 - 6
+    assert [tuple(r) for r in rows.where("ord = 40007").orderBy("rank").select("base", "shared", "ratio").collect()] == [(20_007, 2, 1.0), (7, 2, 1.0), (40_006, 1, 0.5)]
+    assert rows.where("ord % 20000 <> 7 and base <> ord - rank").isEmpty()
