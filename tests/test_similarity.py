@@ -49,3 +49,13 @@ def test_a_line_of_every_document_to_the_latest(spark, alike):
     assert rows.count() == 3 * 60_000 - 6
     assert [tuple(r) for r in rows.where("ord = 40007").orderBy("rank").select("base", "shared", "ratio").collect()] == [(20_007, 2, 1.0), (7, 2, 1.0), (40_006, 1, 0.5)]
     assert rows.where("ord % 20000 <> 7 and base <> ord - rank").isEmpty()
+
+
+def test_drawings_with_a_circle_in_common(spark, tmp_path):
+    """20,000 drawings with the same circle: 200 million pairs."""
+    rows = spark.range(40_000).select(F.floor(F.col("id") / 2).alias("l_orderkey"), (F.col("id") % 2 + 1).cast("int").alias("l_linenumber"), F.lit("N").alias("l_returnflag"), F.lit(5.0).alias("l_quantity"), F.when(F.col("id") == 39_998, 100.0).otherwise(F.col("id") + 100.0).alias("l_extendedprice"))
+    rows.write.parquet(f"{tmp_path}/lineitem.parquet")
+    found = __spark_entry__.queries()["geometry_ranked_bases"](spark, str(tmp_path))
+    assert found.count() == 3 * 20_000 - 6
+    assert [tuple(r) for r in found.where("ord = 19999").orderBy("rank").select("base", "shared").collect()] == [(0, 2), (1, 1), (2, 1)]
+    assert found.where("ord > 2 and ord < 19999").groupBy("base", "rank").count().count() == 3
