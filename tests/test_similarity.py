@@ -59,3 +59,14 @@ def test_drawings_with_a_circle_in_common(spark, tmp_path):
     assert found.count() == 3 * 20_000 - 6
     assert [tuple(r) for r in found.where("ord = 19999").orderBy("rank").select("base", "shared").collect()] == [(0, 2), (1, 1), (2, 1)]
     assert found.where("ord > 2 and ord < 19999").groupBy("base", "rank").count().count() == 3
+
+
+def test_a_base_that_many_files_propose(spark):
+    """Every file on the same base, in two arms: each is tried once, and sizes are those of plain patches."""
+    objects = spark.createDataFrame([(i, bytes(range(256)) * 20 + b"%d" % i) for i in range(40)], "ord long, bytes binary")
+    proposals = spark.range(1, 40).select(F.explode(F.array(F.lit("a"), F.lit("b"))).alias("arm"), F.col("id").alias("ord"), F.lit(0).cast("long").alias("base"))
+    found = M.choose_for_arms(objects, proposals, {"a": -(1 << 30), "b": 1 << 30, "c": 1}).collect()
+    base = objects.where("ord = 0").select(F.col("bytes").alias("b"))
+    sizes = {r.ord: r.size for r in objects.join(base).select("ord", F.octet_length(M.patch("b", "bytes")).alias("size")).collect()}
+    assert len(found) == 120 and all(r.exact for r in found)
+    assert all((r.base, r.selected, r.attempts) == ((0, sizes[r.ord], 1) if r.arm == "a" and r.ord else (None, r.standalone, int(r.arm != "c" and r.ord > 0))) for r in found)
