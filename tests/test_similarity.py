@@ -70,3 +70,8 @@ def test_a_base_that_many_files_propose(spark):
     sizes = {r.ord: r.size for r in objects.join(base).select("ord", F.octet_length(M.patch("b", "bytes")).alias("size")).collect()}
     assert len(found) == 120 and all(r.exact for r in found)
     assert all((r.base, r.selected, r.attempts) == ((0, sizes[r.ord], 1) if r.arm == "a" and r.ord else (None, r.standalone, int(r.arm != "c" and r.ord > 0))) for r in found)
+
+
+def test_a_funnel_over_a_line_of_every_document(spark, alike):
+    r = __spark_entry__.queries()["proposal_funnel"](spark, alike).first()
+    assert (r.n_files, r.proposed, r.accepted, r.too_small, r.unproposed) == (60_000, 59_999, 0, 59_999, 1)
