@@ -75,3 +75,8 @@ def test_a_base_that_many_files_propose(spark):
 def test_a_funnel_over_a_line_of_every_document(spark, alike):
     r = __spark_entry__.queries()["proposal_funnel"](spark, alike).first()
     assert (r.n_files, r.proposed, r.accepted, r.too_small, r.unproposed) == (60_000, 59_999, 0, 59_999, 1)
+
+
+def test_candidates_over_a_line_of_every_document(spark, alike):
+    counts = {r.arm: r["count"] for r in __spark_entry__.queries()["arm_candidates"](spark, alike).groupBy("arm").count().collect()}
+    assert counts["name"] == 59_998 and counts["key"] == 3 * 60_000 - 6
