@@ -80,3 +80,8 @@ def test_a_funnel_over_a_line_of_every_document(spark, alike):
 def test_candidates_over_a_line_of_every_document(spark, alike):
     counts = {r.arm: r["count"] for r in __spark_entry__.queries()["arm_candidates"](spark, alike).groupBy("arm").count().collect()}
     assert counts["name"] == 59_998 and counts["key"] == 3 * 60_000 - 6
+
+
+def test_arms_over_a_line_of_every_document(spark, alike):
+    rows = {r.arm: r for r in __spark_entry__.queries()["arm_comparison"](spark, alike).collect()}
+    assert rows["name"].n_files == 60_000 and rows["name"].comparable == 59_998 and rows["name"].other_only == 1
