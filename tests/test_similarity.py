@@ -85,3 +85,8 @@ def test_candidates_over_a_line_of_every_document(spark, alike):
 def test_arms_over_a_line_of_every_document(spark, alike):
     rows = {r.arm: r for r in __spark_entry__.queries()["arm_comparison"](spark, alike).collect()}
     assert rows["name"].n_files == 60_000 and rows["name"].comparable == 59_998 and rows["name"].other_only == 1
+
+
+def test_patches_over_a_line_of_every_document(spark, alike):
+    rows = __spark_entry__.queries()["base_arms_exact"](spark, alike).collect()
+    assert len(rows) == 6 and all(r.n_files == 60_000 and r.exact for r in rows)
