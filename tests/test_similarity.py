@@ -90,3 +90,11 @@ def test_arms_over_a_line_of_every_document(spark, alike):
 def test_patches_over_a_line_of_every_document(spark, alike):
     rows = __spark_entry__.queries()["base_arms_exact"](spark, alike).collect()
     assert len(rows) == 6 and all(r.n_files == 60_000 and r.exact for r in rows)
+
+
+def test_patches_of_drawings_with_a_circle_in_common(spark, tmp_path):
+    """12,000 drawings of one circle: 72 million pairs."""
+    rows = spark.range(24_000).select(F.floor(F.col("id") / 2).alias("l_orderkey"), (F.col("id") % 2 + 1).cast("int").alias("l_linenumber"), F.lit("N").alias("l_returnflag"), F.lit(5.0).alias("l_quantity"), (F.col("id") + 100.0).alias("l_extendedprice"))
+    rows.write.parquet(f"{tmp_path}/lineitem.parquet")
+    found = __spark_entry__.queries()["geometry_ranked_patches"](spark, str(tmp_path)).collect()
+    assert len(found) == 11_999 and all(r.patched and r.exact and r.tried <= 4 for r in found)
