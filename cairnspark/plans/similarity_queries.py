@@ -19,26 +19,31 @@ def _lines(spark: SparkSession, sf_dir: str) -> DataFrame:
     return O.table(spark, sf_dir, "documents").select(F.col("doc_id").alias("ord"), F.explode(F.split(F.coalesce("text", F.lit("")), "\n", -1)).alias("line")).select("ord", X.mark("line").alias("feature"))
 
 
-def _sketched(spark: SparkSession, sf_dir: str) -> DataFrame:
+def _counted(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """(ord, feature, n), written: how often a document has a line."""
+    return session.written(_lines(spark, sf_dir).groupBy("ord", "feature").agg(F.count("*").alias("n")))
+
+
+def _sketched(counted: DataFrame) -> DataFrame:
     """The earlier documents that share most distinct lines; ties to the earliest."""
-    return M.nearest(_lines(spark, sf_dir).distinct().withColumn("n", F.lit(1)), sized=False, latest=False)
+    return M.nearest(counted.withColumn("n", F.lit(1)), sized=False, latest=False)
 
 
-def _keyed(spark: SparkSession, sf_dir: str) -> DataFrame:
+def _keyed(counted: DataFrame) -> DataFrame:
     """The earlier documents that share most occurrences of lines for their size; ties to the latest."""
-    return M.nearest(_lines(spark, sf_dir).groupBy("ord", "feature").agg(F.count("*").alias("n")), sized=True, latest=True)
+    return M.nearest(counted, sized=True, latest=True)
 
 
 @query(f"WITH {_LINES}, f AS (SELECT DISTINCT * FROM l), s AS (SELECT a.ord, b.ord AS base, count(*) AS shared FROM f a JOIN f b ON a.line = b.line AND b.ord < a.ord GROUP BY ALL) SELECT ord, base, shared, CAST(rank AS INTEGER) AS rank FROM (SELECT *, row_number() OVER (PARTITION BY ord ORDER BY shared DESC, base) AS rank FROM s) WHERE rank <= 3")
 def feature_overlap_topk(spark: SparkSession, sf_dir: str) -> DataFrame:
     """OP-38, 75, 90: the three earlier documents that share most lines; ties to the earliest."""
-    return _sketched(spark, sf_dir).select("ord", "base", "shared", "rank")
+    return _sketched(_counted(spark, sf_dir)).select("ord", "base", "shared", "rank")
 
 
 @query(f"WITH {_LINES}, c AS (SELECT ord, line, count(*) AS n FROM l GROUP BY ALL), z AS (SELECT ord, sum(n) AS size FROM c GROUP BY ord), s AS (SELECT a.ord, b.ord AS base, sum(least(a.n, b.n)) AS shared FROM c a JOIN c b ON a.line = b.line AND b.ord < a.ord GROUP BY ALL), r AS (SELECT s.*, shared / greatest(1, least(x.size, y.size)) AS ratio FROM s JOIN z x ON x.ord = s.ord JOIN z y ON y.ord = s.base) SELECT ord, base, CAST(shared AS BIGINT) AS shared, round(ratio, 6) AS ratio, CAST(rank AS INTEGER) AS rank FROM (SELECT *, row_number() OVER (PARTITION BY ord ORDER BY ratio DESC, shared DESC, base DESC) AS rank FROM r) WHERE rank <= 3")
 def overlap_normalised(spark: SparkSession, sf_dir: str) -> DataFrame:
     """OP-39, 71, 76: shared occurrences over the smaller side; ties to the latest."""
-    return _keyed(spark, sf_dir).select("ord", "base", "shared", F.round("ratio", 6).alias("ratio"), "rank")
+    return _keyed(_counted(spark, sf_dir)).select("ord", "base", "shared", F.round("ratio", 6).alias("ratio"), "rank")
 
 
 @query("WITH u AS (SELECT min(doc_id) AS ord FROM documents GROUP BY text), f AS (SELECT source, min(doc_id) AS base FROM documents JOIN u ON u.ord = doc_id GROUP BY source) SELECT doc_id AS ord, CASE WHEN base < doc_id THEN base END AS base FROM documents JOIN f USING (source)")
@@ -54,19 +59,27 @@ def anchor_candidates(spark: SparkSession, sf_dir: str) -> DataFrame:
     return M.newest_by_anchor(O.documents(spark, sf_dir).select("ord", X.anchors(F.col("bytes")).alias("anchors")))
 
 
-def _proposals(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, dict[str, tuple[DataFrame, int]]]:
+_GAINS = {"none": M.LEAST_GAIN, "name": M.LEAST_NAME_GAIN, "sketch": M.LEAST_GAIN, "key": M.LEAST_GAIN, "name+key": M.LEAST_GAIN, "hybrid": M.LEAST_GAIN}
+
+
+def _proposals(spark: SparkSession, sf_dir: str, *arms: str) -> tuple[DataFrame, dict[str, DataFrame]]:
+    """The documents, and (ord, base, rank) of the arms asked for; each ranking that they need is made and written once, others not at all."""
     docs = O.documents(spark, sf_dir).select("ord", "family", "bytes")
-    named = M.first_of_family(docs.select("ord", "family", F.sha2("bytes", 256).alias("sha256"))).where("base is not null").select("ord", "base", F.lit(1).alias("rank"))
-    sketched = _sketched(spark, sf_dir).select("ord", "base", "rank")
-    keyed = session.written(_keyed(spark, sf_dir).select("ord", "base", "rank"))
-    return docs, {
-        "none": (named.limit(0), M.LEAST_GAIN),
-        "name": (named, M.LEAST_NAME_GAIN),
-        "sketch": (sketched, M.LEAST_GAIN),
-        "key": (keyed, M.LEAST_GAIN),
-        "name+key": (M.in_turn(named, keyed), M.LEAST_GAIN),
-        "hybrid": (M.in_turn(named, keyed.where("rank = 1")), M.LEAST_GAIN),
-    }
+    out = {}
+    if {"none", "name", "name+key", "hybrid"} & set(arms):
+        marks = session.written(docs.select("ord", "family", F.sha2("bytes", 256).alias("sha256")))
+        named = session.written(M.first_of_family(marks).where("base is not null").select("ord", "base", F.lit(1).alias("rank")))
+        out |= {"none": named.limit(0), "name": named}
+    counted = _counted(spark, sf_dir) if set(arms) - {"none", "name"} else None
+    if "sketch" in arms:
+        out["sketch"] = session.written(_sketched(counted).select("ord", "base", "rank"))
+    if {"key", "name+key", "hybrid"} & set(arms):
+        keyed = out["key"] = session.written(_keyed(counted).select("ord", "base", "rank"))
+    if "name+key" in arms:
+        out["name+key"] = M.in_turn(named, keyed)
+    if "hybrid" in arms:
+        out["hybrid"] = M.in_turn(named, keyed.where("rank = 1"))
+    return docs, {arm: out[arm] for arm in arms}
 
 
 _KEYS = f"{_LINES}, c AS (SELECT ord, line, count(*) AS n FROM l GROUP BY ALL), z AS (SELECT ord, sum(n) AS size FROM c GROUP BY ord), s AS (SELECT a.ord, b.ord AS base, sum(least(a.n, b.n)) AS shared FROM c a JOIN c b ON a.line = b.line AND b.ord < a.ord GROUP BY ALL), r AS (SELECT s.*, shared / greatest(1, least(x.size, y.size)) AS ratio FROM s JOIN z x ON x.ord = s.ord JOIN z y ON y.ord = s.base), keys AS (SELECT ord, base, row_number() OVER (PARTITION BY ord ORDER BY ratio DESC, shared DESC, base DESC) AS rank FROM r QUALIFY rank <= 3)"
@@ -77,10 +90,10 @@ _CANDIDATES = f"{_KEYS}, {_NAMES}, p AS (SELECT 'name' AS arm, ord, base, 0 AS r
 @query(f"WITH {_CANDIDATES} SELECT * FROM candidates")
 def arm_candidates(spark: SparkSession, sf_dir: str) -> DataFrame:
     """OP-91, 160, 161: the bases that each arm tries, in turn: by name, by keys, by both without repeats, by name and the best key."""
-    _, arms = _proposals(spark, sf_dir)
+    _, arms = _proposals(spark, sf_dir, "name", "key", "name+key", "hybrid")
     out = None
-    for arm in ("name", "key", "name+key", "hybrid"):
-        rows = arms[arm][0].select(F.lit(arm).alias("arm"), "ord", "base", F.col("rank").alias("place"))
+    for arm, proposed in arms.items():
+        rows = proposed.select(F.lit(arm).alias("arm"), "ord", "base", F.col("rank").alias("place"))
         out = rows if out is None else out.unionByName(rows)
     return out
 
@@ -88,10 +101,10 @@ def arm_candidates(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query(f"WITH {_CANDIDATES}, h AS (SELECT arm, ord, base FROM candidates WHERE place = 1), g AS (SELECT * FROM (VALUES ('name', 'key'), ('key', 'hybrid')) t(a, b)), x AS (SELECT g.a, g.b, doc_id AS ord, m.base AS one, n.base AS other FROM g CROSS JOIN documents LEFT JOIN h m ON m.arm = g.a AND m.ord = doc_id LEFT JOIN h n ON n.arm = g.b AND n.ord = doc_id) SELECT a AS arm, b AS other_arm, count(*) AS n_files, count(*) FILTER (one IS NOT NULL AND other IS NOT NULL) AS comparable, count(*) FILTER (one = other) AS same_base, count(*) FILTER (one <> other) AS different_base, count(*) FILTER (one IS NULL AND other IS NOT NULL) AS other_only FROM x GROUP BY ALL")
 def arm_comparison(spark: SparkSession, sf_dir: str) -> DataFrame:
     """OP-45: two arms' first choices, file by file."""
-    docs, arms = _proposals(spark, sf_dir)
+    docs, arms = _proposals(spark, sf_dir, "name", "key", "hybrid")
     out = None
     for a, b in (("name", "key"), ("key", "hybrid")):
-        one, other = (arms[x][0].where("rank = 1").select("ord", F.col("base").alias(c)) for x, c in ((a, "one"), (b, "other")))
+        one, other = (arms[x].where("rank = 1").select("ord", F.col("base").alias(c)) for x, c in ((a, "one"), (b, "other")))
         rows = M.compared(docs.select("ord"), one, other).select(F.lit(a).alias("arm"), F.lit(b).alias("other_arm"), "*")
         out = rows if out is None else out.unionByName(rows)
     return out
@@ -99,13 +112,12 @@ def arm_comparison(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def _choices(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Every arm's choices; a pair that several arms propose is patched once."""
-    docs, arms = _proposals(spark, sf_dir)
+    docs, arms = _proposals(spark, sf_dir, *_GAINS)
     every = None
-    for arm, (proposed, gain) in arms.items():
-        rows = proposed.select(F.lit(arm).alias("arm"), F.lit(gain).alias("least_gain"), "ord", "base")
+    for arm, proposed in arms.items():
+        rows = proposed.select(F.lit(arm).alias("arm"), "ord", "base")
         every = rows if every is None else every.unionByName(rows)
-    gains = {arm: gain for arm, (_, gain) in arms.items()}
-    return M.choose_for_arms(docs, every, gains)
+    return M.choose_for_arms(docs, every, _GAINS)
 
 
 @query()
@@ -123,9 +135,9 @@ def base_arms_exact(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query()
 def proposal_funnel(spark: SparkSession, sf_dir: str) -> DataFrame:
     """OP-62: where proposals end; the counts are disjoint and sum to the files."""
-    docs, arms = _proposals(spark, sf_dir)
-    proposed, gain = arms["sketch"]
-    return M.funnel(M.choose_bases(docs, proposed, gain).withColumn("arm", F.lit("sketch")), proposed)
+    docs, arms = _proposals(spark, sf_dir, "sketch")
+    proposed = arms["sketch"]
+    return M.funnel(M.choose_bases(docs, proposed, _GAINS["sketch"]).withColumn("arm", F.lit("sketch")), proposed)
 
 
 @query("WITH t AS (SELECT conv_id, turn, encode(coalesce(text, '')) AS b FROM conversations), p AS (SELECT conv_id, turn, lag(b) OVER (PARTITION BY conv_id ORDER BY turn) AS a, b FROM t), q AS (SELECT *, octet_length(a) AS na, octet_length(b) AS nb FROM p WHERE a IS NOT NULL), f AS (SELECT *, coalesce((SELECT min(i) FROM range(0, least(na, nb)) r(i) WHERE a[i + 1 : i + 1] <> b[i + 1 : i + 1]), least(na, nb)) AS pre FROM q), g AS (SELECT *, coalesce((SELECT min(i) FROM range(0, least(na, nb) - pre) r(i) WHERE a[na - i : na - i] <> b[nb - i : nb - i]), least(na, nb) - pre) AS suf FROM f) SELECT conv_id, turn, CAST(pre AS INTEGER) AS prefix, CAST(suf AS INTEGER) AS suffix, CAST(nb - pre - suf AS INTEGER) AS middle, true AS exact FROM g")

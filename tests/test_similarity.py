@@ -98,3 +98,31 @@ def test_patches_of_drawings_with_a_circle_in_common(spark, tmp_path):
     rows.write.parquet(f"{tmp_path}/lineitem.parquet")
     found = __spark_entry__.queries()["geometry_ranked_patches"](spark, str(tmp_path)).collect()
     assert len(found) == 11_999 and all(r.patched and r.exact and r.tried <= 4 for r in found)
+
+
+def _told(spark, df):
+    """The rows, and a count of how many of them were read so far."""
+    seen = spark.sparkContext.accumulator(0)
+
+    def run(batches):
+        for rows in batches:
+            seen.add(rows.num_rows)
+            yield rows
+
+    return df.mapInArrow(run, df.schema), seen
+
+
+def test_files_are_read_and_compressed_once(spark):
+    objects, seen = _told(spark, spark.createDataFrame([(i, bytes(range(200)) * 20 + b"%d" % i) for i in range(40)], "ord long, bytes binary"))
+    proposals = spark.range(1, 40).select(F.explode(F.array(F.lit("a"), F.lit("b"))).alias("arm"), F.col("id").alias("ord"), F.explode(F.array(F.lit(0).cast("long"), F.col("id") - 1)).alias("base"))
+    found = M.choose_for_arms(objects, proposals, {"a": 1, "b": 1 << 30}).collect()
+    assert seen.value == 40
+    assert [(r.arm, r.base is not None, r.attempts) for r in sorted(found, key=lambda r: (r.arm, r.ord))] == [("a", i > 0, min(i, 2)) for i in range(40)] + [("b", False, min(i, 2)) for i in range(40)]
+
+
+@pytest.mark.parametrize("sized", [False, True])
+def test_classes_in_many_parts(spark, sized):
+    rng = random.Random(3)
+    counts = spark.createDataFrame([(o, f, rng.randrange(1, 4)) for o in range(120) for f in rng.sample("abcdefgh", 3)], "ord long, feature string, n long")
+    one, many = (sorted(M.nearest(counts, sized, False, often=1, each=e).collect()) for e in (1 << 20, 1))
+    assert one and one == many
