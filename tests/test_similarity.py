@@ -5,6 +5,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from cairnspark.operators import similarity as M
+from cairnspark.plans import ledger_queries
 
 
 @pytest.fixture(scope="module")
@@ -128,6 +129,20 @@ def test_only_rankings_that_are_asked_for_are_made(spark, monkeypatch, name, siz
     assert calls == sized
 
 
+def test_drawings_are_made_once(spark, monkeypatch):
+    made = []
+
+    def told(*a):
+        made.append(_told(spark, objects(*a)))
+        return made[-1][0]
+
+    objects = ledger_queries._objects
+    monkeypatch.setattr(ledger_queries, "_objects", told)
+    found = __spark_entry__.queries()["geometry_ranked_patches"](spark, "/root/testdata/sf0.001").collect()
+    assert len(found) > 100 and all(r.patched and r.exact for r in found)
+    assert [seen.value for _, seen in made] == [objects(spark, "/root/testdata/sf0.001").count()]
+
+
 @pytest.mark.parametrize("sized", [False, True])
 def test_classes_in_many_parts(spark, sized):
     rng = random.Random(3)
