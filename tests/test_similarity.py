@@ -121,7 +121,7 @@ def test_files_are_read_and_compressed_once(spark):
     assert [(r.arm, r.base is not None, r.attempts) for r in sorted(found, key=lambda r: (r.arm, r.ord))] == [("a", i > 0, min(i, 2)) for i in range(40)] + [("b", False, min(i, 2)) for i in range(40)]
 
 
-@pytest.mark.parametrize("name, sized", [("proposal_funnel", [False]), ("arm_candidates", [True])])
+@pytest.mark.parametrize("name, sized", [("proposal_funnel", [False]), ("arm_candidates", [True]), ("arm_comparison", [True])])
 def test_only_rankings_that_are_asked_for_are_made(spark, monkeypatch, name, sized):
     calls, nearest = [], M.nearest
     monkeypatch.setattr(M, "nearest", lambda counts, sized, latest: calls.append(sized) or nearest(counts, sized, latest))
