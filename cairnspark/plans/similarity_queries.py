@@ -15,13 +15,15 @@ _LINES = "l AS (SELECT doc_id AS ord, unnest(string_split(coalesce(text, ''), ch
 _DOCS = "docs AS (SELECT doc_id AS ord, source AS family, encode(coalesce(text, '')) AS b, octet_length(encode(coalesce(text, ''))) AS n FROM documents)"
 
 
-def _lines(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return O.table(spark, sf_dir, "documents").select(F.col("doc_id").alias("ord"), F.explode(F.split(F.coalesce("text", F.lit("")), "\n", -1)).alias("line")).select("ord", X.mark("line").alias("feature"))
+def _marked(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """(ord, family, sha256, lines): the documents with their lines' marks."""
+    lines = F.transform(F.split(F.coalesce("text", F.lit("")), "\n", -1), lambda line: X.mark(line))
+    return O.table(spark, sf_dir, "documents").select(F.col("doc_id").alias("ord"), F.col("source").alias("family"), F.sha2(X.utf8("text"), 256).alias("sha256"), lines.alias("lines"))
 
 
-def _counted(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """(ord, feature, n), written: how often a document has a line."""
-    return session.written(_lines(spark, sf_dir).groupBy("ord", "feature").agg(F.count("*").alias("n")))
+def _counted(marked: DataFrame) -> DataFrame:
+    """(ord, feature, n): how often a document has a line."""
+    return marked.select("ord", "lines").repartition("ord").select("ord", F.explode("lines").alias("feature")).groupBy("ord", "feature").agg(F.count("*").alias("n"))
 
 
 def _sketched(counted: DataFrame) -> DataFrame:
@@ -37,13 +39,13 @@ def _keyed(counted: DataFrame) -> DataFrame:
 @query(f"WITH {_LINES}, f AS (SELECT DISTINCT * FROM l), s AS (SELECT a.ord, b.ord AS base, count(*) AS shared FROM f a JOIN f b ON a.line = b.line AND b.ord < a.ord GROUP BY ALL) SELECT ord, base, shared, CAST(rank AS INTEGER) AS rank FROM (SELECT *, row_number() OVER (PARTITION BY ord ORDER BY shared DESC, base) AS rank FROM s) WHERE rank <= 3")
 def feature_overlap_topk(spark: SparkSession, sf_dir: str) -> DataFrame:
     """OP-38, 75, 90: the three earlier documents that share most lines; ties to the earliest."""
-    return _sketched(_counted(spark, sf_dir)).select("ord", "base", "shared", "rank")
+    return _sketched(_counted(_marked(spark, sf_dir))).select("ord", "base", "shared", "rank")
 
 
 @query(f"WITH {_LINES}, c AS (SELECT ord, line, count(*) AS n FROM l GROUP BY ALL), z AS (SELECT ord, sum(n) AS size FROM c GROUP BY ord), s AS (SELECT a.ord, b.ord AS base, sum(least(a.n, b.n)) AS shared FROM c a JOIN c b ON a.line = b.line AND b.ord < a.ord GROUP BY ALL), r AS (SELECT s.*, shared / greatest(1, least(x.size, y.size)) AS ratio FROM s JOIN z x ON x.ord = s.ord JOIN z y ON y.ord = s.base) SELECT ord, base, CAST(shared AS BIGINT) AS shared, round(ratio, 6) AS ratio, CAST(rank AS INTEGER) AS rank FROM (SELECT *, row_number() OVER (PARTITION BY ord ORDER BY ratio DESC, shared DESC, base DESC) AS rank FROM r) WHERE rank <= 3")
 def overlap_normalised(spark: SparkSession, sf_dir: str) -> DataFrame:
     """OP-39, 71, 76: shared occurrences over the smaller side; ties to the latest."""
-    return _keyed(_counted(spark, sf_dir)).select("ord", "base", "shared", F.round("ratio", 6).alias("ratio"), "rank")
+    return _keyed(_counted(_marked(spark, sf_dir))).select("ord", "base", "shared", F.round("ratio", 6).alias("ratio"), "rank")
 
 
 @query("WITH u AS (SELECT min(doc_id) AS ord FROM documents GROUP BY text), f AS (SELECT source, min(doc_id) AS base FROM documents JOIN u ON u.ord = doc_id GROUP BY source) SELECT doc_id AS ord, CASE WHEN base < doc_id THEN base END AS base FROM documents JOIN f USING (source)")
@@ -65,12 +67,12 @@ _GAINS = {"none": M.LEAST_GAIN, "name": M.LEAST_NAME_GAIN, "sketch": M.LEAST_GAI
 def _proposals(spark: SparkSession, sf_dir: str, *arms: str) -> tuple[DataFrame, dict[str, DataFrame]]:
     """The documents, and (ord, base, rank) of the arms asked for; each ranking that they need is made and written once, others not at all."""
     docs = O.documents(spark, sf_dir).select("ord", "family", "bytes")
-    out = {}
+    marked, out = _marked(spark, sf_dir), {}
     if {"none", "name", "name+key", "hybrid"} & set(arms):
-        marks = session.written(docs.select("ord", "family", F.sha2("bytes", 256).alias("sha256")))
-        named = session.written(M.first_of_family(marks).where("base is not null").select("ord", "base", F.lit(1).alias("rank")))
+        marked = session.written(marked)
+        named = session.written(M.first_of_family(marked.drop("lines")).where("base is not null").select("ord", "base", F.lit(1).alias("rank")))
         out |= {"none": named.limit(0), "name": named}
-    counted = _counted(spark, sf_dir) if set(arms) - {"none", "name"} else None
+    counted = _counted(marked)
     if "sketch" in arms:
         out["sketch"] = session.written(_sketched(counted).select("ord", "base", "rank"))
     if {"key", "name+key", "hybrid"} & set(arms):

@@ -6,6 +6,7 @@ from pyspark.sql import functions as F
 
 from cairnspark.operators import similarity as M
 from cairnspark.plans import ledger_queries
+from cairnspark.sources import objects as O
 
 
 @pytest.fixture(scope="module")
@@ -149,3 +150,42 @@ def test_classes_in_many_parts(spark, sized):
     counts = spark.createDataFrame([(o, f, rng.randrange(1, 4)) for o in range(120) for f in rng.sample("abcdefgh", 3)], "ord long, feature string, n long")
     one, many = (sorted(M.nearest(counts, sized, False, often=1, each=e).collect()) for e in (1 << 20, 1))
     assert one and one == many
+
+
+@pytest.mark.parametrize("sized, latest", [(False, False), (True, False), (True, True)])
+def test_copies_are_one_text(spark, monkeypatch, sized, latest):
+    """400 files of 24 texts, some without copies: nothing is written by file or by pair of files, whatever the features' frequency, and ranks are those of all pairs."""
+    rng = random.Random(5)
+    texts = [{rng.choice("abcdefghijkl"): rng.randrange(1, 4) for _ in range(rng.randrange(1, 5))} for _ in range(24)]
+    of = [*range(24), *(rng.randrange(12) for _ in range(376))]
+    rng.shuffle(of)
+    counts = spark.createDataFrame([(o, f, n if sized else 1) for o, t in enumerate(of) for f, n in texts[t].items()], "ord long, feature string, n long")
+    best = M.normalised(counts) if sized else M.overlaps(counts).withColumn("ratio", F.col("shared").cast("double"))
+    every = M.top(best, F.desc("ratio"), F.desc("shared"), F.desc("base") if latest else F.col("base"))
+    rows, written = [], M.written
+
+    def told(df):
+        out = written(df)
+        rows.append(out.count())
+        return out
+
+    monkeypatch.setattr(M, "written", told)
+    wanted = sorted(every.select("ord", "base", "shared", "ratio", "rank").collect())
+    for often in (2, 1000):
+        assert sorted(M.nearest(counts, sized, latest, often=often).select("ord", "base", "shared", "ratio", "rank").collect()) == wanted
+    assert max(rows) <= 24 * 23 / 2
+
+
+@pytest.mark.parametrize("name, times", [("arm_candidates", 1), ("arm_comparison", 2)])
+def test_documents_are_read_once_for_names_and_lines(spark, monkeypatch, name, times):
+    """The comparison reads the ids of its files besides."""
+    made, table = [], O.table
+
+    def told(*a):
+        df, seen = _told(spark, table(*a))
+        made.append(seen)
+        return df
+
+    monkeypatch.setattr(O, "table", told)
+    assert __spark_entry__.queries()[name](spark, "/root/testdata/sf0.001").collect()
+    assert sum(seen.value for seen in made) == times * table(spark, "/root/testdata/sf0.001", "documents").count()
