@@ -189,3 +189,21 @@ def test_documents_are_read_once_for_names_and_lines(spark, monkeypatch, name, t
     monkeypatch.setattr(O, "table", told)
     assert __spark_entry__.queries()[name](spark, "/root/testdata/sf0.001").collect()
     assert sum(seen.value for seen in made) == times * table(spark, "/root/testdata/sf0.001", "documents").count()
+
+
+def test_a_funnel_over_copies(spark, monkeypatch, tmp_path):
+    """240 documents of four texts are ranked as four."""
+    text = F.concat_ws("\n", F.lit("a line"), F.concat(F.lit("text "), F.col("id") % 4))
+    spark.range(240).select(F.col("id").alias("doc_id"), text.alias("text"), F.lit("en").alias("lang"), F.lit("s").alias("source")).write.parquet(f"{tmp_path}/documents.parquet")
+    ranked, written = [], M.written
+
+    def told(df):
+        out = written(df)
+        if "entries" in out.columns:
+            ranked.append(out.count())
+        return out
+
+    monkeypatch.setattr(M, "written", told)
+    r = __spark_entry__.queries()["proposal_funnel"](spark, str(tmp_path)).first()
+    assert (r.n_files, r.proposed, r.accepted, r.too_small, r.unproposed) == (240, 239, 0, 239, 1)
+    assert ranked == [4]
