@@ -16,36 +16,39 @@ _DOCS = "docs AS (SELECT doc_id AS ord, source AS family, encode(coalesce(text,
 
 
 def _marked(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """(ord, family, sha256, lines): the documents with their lines' marks."""
+    """(ord, family, sha256, features): the documents with their lines' marks, in order."""
     lines = F.transform(F.split(F.coalesce("text", F.lit("")), "\n", -1), lambda line: X.mark(line))
-    return O.table(spark, sf_dir, "documents").select(F.col("doc_id").alias("ord"), F.col("source").alias("family"), F.sha2(X.utf8("text"), 256).alias("sha256"), lines.alias("lines"))
+    return O.table(spark, sf_dir, "documents").select(F.col("doc_id").alias("ord"), F.col("source").alias("family"), F.sha2(X.utf8("text"), 256).alias("sha256"), F.sort_array(lines).alias("features"))
 
 
-def _counted(marked: DataFrame) -> DataFrame:
-    """(ord, feature, n): how often a document has a line."""
-    return marked.select("ord", "lines").repartition("ord").select("ord", F.explode("lines").alias("feature")).groupBy("ord", "feature").agg(F.count("*").alias("n"))
+def _texts(marked: DataFrame, k: int = M.TRIES) -> M.Texts:
+    return M.texts(marked.select("ord", "features"), k)
 
 
-def _sketched(counted: DataFrame) -> DataFrame:
+def _sketched(texts: M.Texts) -> DataFrame:
     """The earlier documents that share most distinct lines; ties to the earliest."""
-    return M.nearest(counted.withColumn("n", F.lit(1)), sized=False, latest=False)
+    return M.nearest(texts.once(), sized=False, latest=False)
 
 
-def _keyed(counted: DataFrame) -> DataFrame:
+def _keyed(texts: M.Texts) -> DataFrame:
     """The earlier documents that share most occurrences of lines for their size; ties to the latest."""
-    return M.nearest(counted, sized=True, latest=True)
+    return M.nearest(texts, sized=True, latest=True)
+
+
+def _lines(spark: SparkSession, sf_dir: str) -> M.Texts:
+    return _texts(session.written(_marked(spark, sf_dir).select("ord", "features")))
 
 
 @query(f"WITH {_LINES}, f AS (SELECT DISTINCT * FROM l), s AS (SELECT a.ord, b.ord AS base, count(*) AS shared FROM f a JOIN f b ON a.line = b.line AND b.ord < a.ord GROUP BY ALL) SELECT ord, base, shared, CAST(rank AS INTEGER) AS rank FROM (SELECT *, row_number() OVER (PARTITION BY ord ORDER BY shared DESC, base) AS rank FROM s) WHERE rank <= 3")
 def feature_overlap_topk(spark: SparkSession, sf_dir: str) -> DataFrame:
     """OP-38, 75, 90: the three earlier documents that share most lines; ties to the earliest."""
-    return _sketched(_counted(_marked(spark, sf_dir))).select("ord", "base", "shared", "rank")
+    return _sketched(_lines(spark, sf_dir)).select("ord", "base", "shared", "rank")
 
 
 @query(f"WITH {_LINES}, c AS (SELECT ord, line, count(*) AS n FROM l GROUP BY ALL), z AS (SELECT ord, sum(n) AS size FROM c GROUP BY ord), s AS (SELECT a.ord, b.ord AS base, sum(least(a.n, b.n)) AS shared FROM c a JOIN c b ON a.line = b.line AND b.ord < a.ord GROUP BY ALL), r AS (SELECT s.*, shared / greatest(1, least(x.size, y.size)) AS ratio FROM s JOIN z x ON x.ord = s.ord JOIN z y ON y.ord = s.base) SELECT ord, base, CAST(shared AS BIGINT) AS shared, round(ratio, 6) AS ratio, CAST(rank AS INTEGER) AS rank FROM (SELECT *, row_number() OVER (PARTITION BY ord ORDER BY ratio DESC, shared DESC, base DESC) AS rank FROM r) WHERE rank <= 3")
 def overlap_normalised(spark: SparkSession, sf_dir: str) -> DataFrame:
     """OP-39, 71, 76: shared occurrences over the smaller side; ties to the latest."""
-    return _keyed(_counted(_marked(spark, sf_dir))).select("ord", "base", "shared", F.round("ratio", 6).alias("ratio"), "rank")
+    return _keyed(_lines(spark, sf_dir)).select("ord", "base", "shared", F.round("ratio", 6).alias("ratio"), "rank")
 
 
 @query("WITH u AS (SELECT min(doc_id) AS ord FROM documents GROUP BY text), f AS (SELECT source, min(doc_id) AS base FROM documents JOIN u ON u.ord = doc_id GROUP BY source) SELECT doc_id AS ord, CASE WHEN base < doc_id THEN base END AS base FROM documents JOIN f USING (source)")
@@ -64,19 +67,27 @@ def anchor_candidates(spark: SparkSession, sf_dir: str) -> DataFrame:
 _GAINS = {"none": M.LEAST_GAIN, "name": M.LEAST_NAME_GAIN, "sketch": M.LEAST_GAIN, "key": M.LEAST_GAIN, "name+key": M.LEAST_GAIN, "hybrid": M.LEAST_GAIN}
 
 
+def _named(marked: DataFrame) -> DataFrame:
+    """(ord, base): the named base of the documents that have one."""
+    rows = marked.select("ord", "family", "sha256")
+    return M.first_of_family(rows, first=session.written(M.bases_of_families(rows))).where("base is not null")
+
+
 def _proposals(spark: SparkSession, sf_dir: str, *arms: str) -> tuple[DataFrame, dict[str, DataFrame]]:
     """The documents, and (ord, base, rank) of the arms asked for; each ranking that they need is made and written once, others not at all."""
     docs = O.documents(spark, sf_dir).select("ord", "family", "bytes")
     marked, out = _marked(spark, sf_dir), {}
     if {"none", "name", "name+key", "hybrid"} & set(arms):
         marked = session.written(marked)
-        named = session.written(M.first_of_family(marked.drop("lines")).where("base is not null").select("ord", "base", F.lit(1).alias("rank")))
+        named = session.written(_named(marked).select("ord", "base", F.lit(1).alias("rank")))
         out |= {"none": named.limit(0), "name": named}
-    counted = _counted(marked)
+    else:
+        marked = session.written(marked.select("ord", "features"))
+    texts = _texts(marked)
     if "sketch" in arms:
-        out["sketch"] = session.written(_sketched(counted).select("ord", "base", "rank"))
+        out["sketch"] = session.written(_sketched(texts).select("ord", "base", "rank"))
     if {"key", "name+key", "hybrid"} & set(arms):
-        keyed = out["key"] = session.written(_keyed(counted).select("ord", "base", "rank"))
+        keyed = out["key"] = session.written(_keyed(texts).select("ord", "base", "rank"))
     if "name+key" in arms:
         out["name+key"] = M.in_turn(named, keyed)
     if "hybrid" in arms:
@@ -103,13 +114,12 @@ def arm_candidates(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query(f"WITH {_CANDIDATES}, h AS (SELECT arm, ord, base FROM candidates WHERE place = 1), g AS (SELECT * FROM (VALUES ('name', 'key'), ('key', 'hybrid')) t(a, b)), x AS (SELECT g.a, g.b, doc_id AS ord, m.base AS one, n.base AS other FROM g CROSS JOIN documents LEFT JOIN h m ON m.arm = g.a AND m.ord = doc_id LEFT JOIN h n ON n.arm = g.b AND n.ord = doc_id) SELECT a AS arm, b AS other_arm, count(*) AS n_files, count(*) FILTER (one IS NOT NULL AND other IS NOT NULL) AS comparable, count(*) FILTER (one = other) AS same_base, count(*) FILTER (one <> other) AS different_base, count(*) FILTER (one IS NULL AND other IS NOT NULL) AS other_only FROM x GROUP BY ALL")
 def arm_comparison(spark: SparkSession, sf_dir: str) -> DataFrame:
     """OP-45: two arms' first choices, file by file."""
-    docs, arms = _proposals(spark, sf_dir, "name", "key", "hybrid")
-    out = None
-    for a, b in (("name", "key"), ("key", "hybrid")):
-        one, other = (arms[x].where("rank = 1").select("ord", F.col("base").alias(c)) for x, c in ((a, "one"), (b, "other")))
-        rows = M.compared(docs.select("ord"), one, other).select(F.lit(a).alias("arm"), F.lit(b).alias("other_arm"), "*")
-        out = rows if out is None else out.unionByName(rows)
-    return out
+    marked = session.written(_marked(spark, sf_dir))
+    named = _named(marked).groupBy("ord").agg(F.min("base").alias("name"))
+    keyed = _keyed(_texts(marked, k=1)).select("ord", F.col("base").alias("key"))
+    files = O.documents(spark, sf_dir).select("ord").join(named, "ord", "left").join(keyed, "ord", "left")
+    # By name and the best key: the name comes first.
+    return M.compared(files.withColumn("hybrid", F.coalesce("name", "key")), ("name", "key"), ("key", "hybrid"))
 
 
 def _choices(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -207,3 +207,28 @@ def test_a_funnel_over_copies(spark, monkeypatch, tmp_path):
     r = __spark_entry__.queries()["proposal_funnel"](spark, str(tmp_path)).first()
     assert (r.n_files, r.proposed, r.accepted, r.too_small, r.unproposed) == (240, 239, 0, 239, 1)
     assert ranked == [4]
+
+
+def test_lists_are_the_multisets_of_their_features(spark):
+    """Files as lists of features, one of them in two rows, one empty, and several equal: ranks are those of the counted features, also if only the best is asked for."""
+    rng = random.Random(9)
+    lists = [(i % 70, sorted(rng.choice("abcdefghijkl").encode() for _ in range(rng.randrange(6)))) for i in range(71)]
+    listed = spark.createDataFrame([*lists, (None, [b"a"])], "ord long, features array<binary>")
+    counts = listed.select("ord", F.explode("features").alias("feature")).groupBy("ord", "feature").agg(F.count("*").alias("n"))
+    for sized, latest in ((False, False), (True, False), (True, True)):
+        wanted = M.nearest(counts if sized else counts.withColumn("n", F.lit(1)), sized, latest, often=3)
+        wanted = sorted(wanted.select("ord", "base", "shared", "ratio", "rank").collect())
+        for k in (1, 3):
+            texts = M.texts(listed, k)
+            found = M.nearest(texts if sized else texts.once(), sized, latest, often=3).select("ord", "base", "shared", "ratio", "rank")
+            assert sorted(found.collect()) == [r for r in wanted if r.rank <= k]
+    assert len(wanted) > 100
+
+
+def test_a_comparison_asks_for_the_best_base_only(spark, monkeypatch):
+    """Three bases for each document were ranked before; and lines are counted for one document of each text."""
+    asked, nearest = [], M.nearest
+    monkeypatch.setattr(M, "nearest", lambda counts, sized, latest: asked.append(nearest(counts, sized, latest)) or asked[-1])
+    rows = {r.arm: r for r in __spark_entry__.queries()["arm_comparison"](spark, "/root/testdata/sf0.001").collect()}
+    assert len(rows) == 2 and rows["name"].n_files == rows["key"].n_files
+    assert [r.rank for r in asked[0].select("rank").distinct().collect()] == [1]
