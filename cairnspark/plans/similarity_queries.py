@@ -149,7 +149,7 @@ def proposal_funnel(spark: SparkSession, sf_dir: str) -> DataFrame:
     """OP-62: where proposals end; the counts are disjoint and sum to the files."""
     docs, arms = _proposals(spark, sf_dir, "sketch")
     proposed = arms["sketch"]
-    return M.funnel(M.choose_bases(docs, proposed, _GAINS["sketch"]).withColumn("arm", F.lit("sketch")), proposed)
+    return M.funnel(M.choose_bases(docs, proposed, _GAINS["sketch"], bounded=True).withColumn("arm", F.lit("sketch")), proposed)
 
 
 @query("WITH t AS (SELECT conv_id, turn, encode(coalesce(text, '')) AS b FROM conversations), p AS (SELECT conv_id, turn, lag(b) OVER (PARTITION BY conv_id ORDER BY turn) AS a, b FROM t), q AS (SELECT *, octet_length(a) AS na, octet_length(b) AS nb FROM p WHERE a IS NOT NULL), f AS (SELECT *, coalesce((SELECT min(i) FROM range(0, least(na, nb)) r(i) WHERE a[i + 1 : i + 1] <> b[i + 1 : i + 1]), least(na, nb)) AS pre FROM q), g AS (SELECT *, coalesce((SELECT min(i) FROM range(0, least(na, nb) - pre) r(i) WHERE a[na - i : na - i] <> b[nb - i : nb - i]), least(na, nb) - pre) AS suf FROM f) SELECT conv_id, turn, CAST(pre AS INTEGER) AS prefix, CAST(suf AS INTEGER) AS suffix, CAST(nb - pre - suf AS INTEGER) AS middle, true AS exact FROM g")

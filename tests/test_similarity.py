@@ -232,3 +232,33 @@ def test_a_comparison_asks_for_the_best_base_only(spark, monkeypatch):
     rows = {r.arm: r for r in __spark_entry__.queries()["arm_comparison"](spark, "/root/testdata/sf0.001").collect()}
     assert len(rows) == 2 and rows["name"].n_files == rows["key"].n_files
     assert [r.rank for r in asked[0].select("rank").distinct().collect()] == [1]
+
+
+def test_a_pair_of_texts_is_patched_once(spark, monkeypatch):
+    """40 files of two texts, all on all earlier ones: sizes are those of plain patches, and four patches are made."""
+    made, tries = spark.sparkContext.accumulator(0), M._tries
+
+    def told(rows):
+        out = tries(rows)
+        made.add(len(out))
+        return out
+
+    monkeypatch.setattr(M, "_tries", told)
+    objects = spark.createDataFrame([(i, bytes(range(200 + i % 2)) * 20) for i in range(40)], "ord long, bytes binary")
+    proposals = spark.range(40).select(F.col("id").alias("ord")).join(spark.range(40).select(F.col("id").alias("base"))).where("base < ord")
+    found = sorted(M.choose_bases(objects, proposals, 1).collect(), key=lambda r: r.ord)
+    assert made.value == 4
+    sizes = {(r.ord, r.base): r.size for r in proposals.where("base < 2").join(objects, "ord").join(objects.select(F.col("ord").alias("base"), F.col("bytes").alias("b")), "base").select("ord", "base", F.octet_length(M.patch("b", "bytes")).alias("size")).collect()}
+    for r in found[1:]:
+        size, base = min((sizes[r.ord, b], b) for b in (0, 1) if b < r.ord)
+        assert (r.attempts, r.exact, r.base, r.selected) == (r.ord, True, *((base, size) if size < r.standalone else (None, r.standalone)))
+
+
+def test_files_too_small_for_a_gain_are_not_patched(spark):
+    rng = random.Random(2)
+    objects = spark.createDataFrame([(i, bytes(rng.randrange(256) for _ in range(300 * (i // 2 + 1)))) for i in range(12)], "ord long, bytes binary")
+    objects = objects.unionByName(objects.select(F.col("ord") + 12, "bytes").toDF("ord", "bytes"))
+    proposals = spark.range(12, 24).select(F.col("id").alias("ord"), (F.col("id") - 12).alias("base"))
+    every, some = (sorted(M.choose_bases(objects, proposals, 1024, bounded).collect()) for bounded in (False, True))
+    assert [(r.ord, r.base, r.selected) for r in every] == [(r.ord, r.base, r.selected) for r in some]
+    assert sum(r.attempts for r in every) == 12 and sum(r.attempts for r in some) == 6 and sum(r.base is not None for r in some) == 6
