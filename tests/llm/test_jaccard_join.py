@@ -1,6 +1,9 @@
 import random
+import time
 
-from cairnspark.llm import jaccard_join
+from pyspark.sql import functions as F
+
+from cairnspark.llm import jaccard_join, shared
 
 LOWER = str.maketrans("ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz")
 
@@ -74,3 +77,22 @@ def test_a_group_that_straddles_the_threshold(spark):
 def test_empty_table_and_extra_columns(spark):
     df = spark.createDataFrame([], "n long, node string, doc_id long, text string")
     assert jaccard_join.linked(df).collect() == []
+
+
+def test_shuffle_files_of_what_is_kept_go(spark):
+    """Before, those of every round stayed until the driver happened to collect its garbage."""
+    manager = spark.sparkContext._jvm.org.apache.spark.SparkEnv.get().blockManager().diskBlockManager()
+
+    def files():
+        found = manager.getAllFiles()
+        return {name for i in range(found.size()) if (name := found.apply(i).getName()).startswith("shuffle_")}
+
+    name, before = "spark.sql.classic.shuffleDependency.fileCleanup.enabled", files()
+    set_to = spark.conf.get(name)
+    rows = shared.kept(spark.range(1000).groupBy((F.col("id") % 7).alias("k")).count())
+    until = time.time() + 20  # they go in the background
+    while not files() <= before and time.time() < until:
+        time.sleep(0.1)
+    assert files() <= before
+    assert sorted(r["count"] for r in rows.collect()) == [142] + [143] * 6
+    assert spark.conf.get(name) == set_to
