@@ -291,3 +291,24 @@ def test_many_classes_meet_by_what_they_have_in_common(spark, monkeypatch, sized
     found = M.nearest(counts, sized, False, often=2, each=8).select(*ranked.columns)
     assert sorted(found.collect()) == sorted(ranked.collect())
     assert taken.value == 0
+
+
+def test_patches_on_bases_of_many_classes(spark, monkeypatch):
+    """Where drawings' classes are many no task takes all of them, and the choices are those made where they are few."""
+    query, among = __spark_entry__.queries()["geometry_ranked_patches"], M._among_classes
+    rows = sorted(query(spark, "/root/testdata/sf0.001").collect())
+    taken = spark.sparkContext.accumulator(0)
+
+    def told(*a):
+        run = among(*a)
+
+        def counted(found):
+            taken.add(len(found))
+            return run(found)
+
+        return counted
+
+    monkeypatch.setattr(M, "_among_classes", told)
+    monkeypatch.setattr(M, "PARTS", 0)
+    assert sorted(query(spark, "/root/testdata/sf0.001").collect()) == rows
+    assert len(rows) > 100 and taken.value == 0
